@@ -213,62 +213,66 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda entry: entry.isNotNull(),
     )
 
-    def meta(uri_suffix: str) -> Column:
-        return F.struct(
-            F.concat(F.lit("e"), "request_id").alias("execution_id"),
-            F.when(fault.isin(3, 9), "")
-            .otherwise(F.concat(F.col("r0.target_uri"), F.lit(uri_suffix)))
-            .alias("target_uri"),
-            F.map_from_entries(
-                F.transform(entries, lambda e: F.struct(e["record_num"].alias("k"), e.alias("v")))
-            ).alias("record_meta"),
-            F.col("r0.fetch_ts").alias("fetch_ts"),
-            F.when(fault.isin(2, 9), "").otherwise(F.col("r0.ip_address")).alias("ip_address"),
-            F.when(
-                fault != 1,
-                F.struct(
-                    F.lit("collection").alias("kind"),
-                    F.when(fault == 4, "nowhere")
-                    .when(fault == 5, "c7")
-                    .otherwise(F.col("r0.collection_id"))
-                    .alias("id"),
-                ),
-            ).alias("collection_ref"),
-        ).cast(MESSAGE["meta"].dataType)
-
-    def message(seq: int, kind: str, when: Column, num: Column = F.lit(None), data: Column = F.lit(None),
-                meta_value: Column = F.lit(None)) -> Column:
-        fields = F.struct(
-            F.lit(seq).cast("long").alias("seq"),
-            F.lit(kind).alias("kind"),
-            num.cast("int").alias("record_num"),
-            data.cast("binary").alias("data"),
-            meta_value.cast(MESSAGE["meta"].dataType).alias("meta"),
-            F.when(F.lit(kind == "cancel"), "stopped").alias("cancel_reason"),
-        )
-        return F.when(when, fields)
-
+    # One slot per message a session may send; the slot is its sequence number.
     has_second = F.col("r1").isNotNull()
-    head0, body0 = F.col("r0.header"), F.col("r0.payload")
-    head1, body1 = F.col("r1.header"), F.col("r1.payload")
-    zero = F.lit(0)
-    messages = F.array(
-        message(10, "header", fault != 13, zero, F.when(fault == 17, empty).otherwise(head0)),
-        message(11, "header", fault.isin(12, 16), zero, F.lit("X").cast("binary")),
-        message(11, "header", fault == 17, zero, head0),
-        message(12, "payload", F.lit(True), zero, body0),
-        message(13, "header", fault == 13, zero, head0),
-        message(20, "header", has_second, second, head1),
-        message(21, "payload", has_second, second, F.substring(body1, 1, 6)),
-        message(22, "cancel", fault == 14),
-        message(23, "trailer", fault.isin(14, 15)),
-        message(24, "payload", has_second, second, F.substr(body1, F.lit(7))),
-        message(30, "meta", fault != 0, meta_value=meta("")),
-        message(31, "meta", fault == 18, meta_value=meta("?v=2")),
-        message(40, "cancel", fault == 16),
+    slots = {
+        10: fault != 13,
+        11: fault.isin(12, 16, 17),
+        12: F.lit(True),
+        13: fault == 13,
+        20: has_second,
+        21: has_second,
+        22: fault == 14,
+        23: fault.isin(14, 15),
+        24: has_second,
+        30: fault != 0,
+        31: fault == 18,
+        40: fault == 16,
+    }
+    sent = F.array_compact(F.array(*[F.when(when, F.lit(slot).cast("long")) for slot, when in slots.items()]))
+    seq = F.col("seq")
+    is_meta, is_cancel = seq.isin(30, 31), seq.isin(22, 40)
+    header0, payload0 = F.col("r0.header"), F.col("r0.payload")
+    data = (
+        F.when((seq == 10) & (fault == 17), empty)
+        .when((seq == 11) & (fault != 17), F.lit("X").cast("binary"))
+        .when(seq.isin(10, 11, 13), header0)
+        .when(seq == 12, payload0)
+        .when(seq == 20, F.col("r1.header"))
+        .when(seq == 21, F.substring(F.col("r1.payload"), 1, 6))
+        .when(seq == 24, F.substr(F.col("r1.payload"), F.lit(7)))
     )
-    return (
-        sessions.select("request_id", F.explode(messages).alias("m"))
-        .where("m IS NOT NULL")
-        .select("request_id", "m.*")
+    target_uri = (
+        F.when(fault.isin(3, 9), "")
+        .when(seq == 31, F.concat(F.col("r0.target_uri"), F.lit("?v=2")))
+        .otherwise(F.col("r0.target_uri"))
+    )
+    collection = (
+        F.when(fault == 4, "nowhere").when(fault == 5, "c7").otherwise(F.col("r0.collection_id"))
+    )
+    meta = F.struct(
+        F.concat(F.lit("e"), "request_id").alias("execution_id"),
+        target_uri.alias("target_uri"),
+        F.map_from_entries(
+            F.transform(entries, lambda e: F.struct(e["record_num"].alias("k"), e.alias("v")))
+        ).alias("record_meta"),
+        F.col("r0.fetch_ts").alias("fetch_ts"),
+        F.when(fault.isin(2, 9), "").otherwise(F.col("r0.ip_address")).alias("ip_address"),
+        F.when(fault != 1, F.struct(F.lit("collection").alias("kind"), collection.alias("id"))).alias(
+            "collection_ref"
+        ),
+    )
+    return sessions.withColumn("seq", F.explode(sent)).select(
+        "request_id",
+        "seq",
+        F.when(is_meta, "meta")
+        .when(is_cancel, "cancel")
+        .when(seq == 23, "trailer")
+        .when(seq.isin(12, 21, 24), "payload")
+        .otherwise("header")
+        .alias("kind"),
+        F.when(seq <= 13, 0).when(seq.isin(20, 21, 24), second).cast("int").alias("record_num"),
+        data.alias("data"),
+        F.when(is_meta, meta.cast(MESSAGE["meta"].dataType)).alias("meta"),
+        F.when(is_cancel, "stopped").alias("cancel_reason"),
     )

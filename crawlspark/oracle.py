@@ -237,7 +237,8 @@ TABLES = {
     "described": """SELECT a.*, m.record_type, m.content_type, m.request_id IS NOT NULL AS has_meta,
         coalesce(a.size = m.declared_size, false) AND coalesce(nullif(m.declared_block, ''), a.block_digest) = a.block_digest
         AND coalesce(nullif(m.declared_payload, ''), a.payload_digest) = a.payload_digest AS correct,
-        coalesce(nullif(m.declared_payload, ''), a.payload_digest) AS kept_payload
+        coalesce(nullif(m.declared_payload, ''), a.payload_digest) AS kept_payload,
+        coalesce(nullif(m.declared_block, ''), a.block_digest) AS kept_block
         FROM assembled a LEFT JOIN record_metas m ON a.request_id = m.request_id AND a.record_num = m.record_num""",
     "faults": """SELECT request_id, record_num, CASE WHEN NOT has_meta THEN 'missing metadata for record num: '||record_num
         WHEN record_type = 'OTHER' THEN 'failed to build record number '||record_num
@@ -266,7 +267,7 @@ TABLES["lenient"] = VALIDATED.format(faults="lenient_faults")
 TABLES["statuses"] = """SELECT o.request_id, CASE WHEN o.status <> 'EOF' THEN o.status WHEN v.error IS NOT NULL THEN 'REJECTED'
     ELSE 'OK' END AS status FROM outcomes o LEFT JOIN validated v ON o.request_id = v.request_id"""
 TABLES["accepted"] = """SELECT d.request_id, d.record_num, d.record_type, v.target_uri, v.fetch_ts, v.collection_id,
-    'UNDEFINED' AS sub_collection, d.kept_payload AS payload_digest, d.block_digest, d.size,
+    'UNDEFINED' AS sub_collection, d.kept_payload AS payload_digest, d.kept_block AS block_digest, d.size,
     coalesce(h.header, '') AS header
     FROM described d JOIN lenient v ON d.request_id = v.request_id
     LEFT JOIN (SELECT request_id, record_num, string_agg(data, '' ORDER BY seq) AS header FROM chunks

@@ -80,5 +80,6 @@ CRAWLED_CONTENT = T.StructType(
         T.StructField("date", T.TimestampType()),
         T.StructField("request_id", T.LongType()),
         T.StructField("record_num", T.IntegerType()),
+        T.StructField("bucket", T.StringType()),
     ]
 )

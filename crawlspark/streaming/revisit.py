@@ -1,6 +1,7 @@
 """Revisit detection on a stream: the batch decision against a growing index."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,20 +18,16 @@ def relevant_index(index: DataFrame, keyed: DataFrame) -> DataFrame:
     """The index without the calendar buckets that cannot match ``keyed``.
 
     The bounds are one row per bucket format, so at most five come to the
-    driver; they become partition filters of the index scan.
+    driver; they become filters of the index scan.
     """
-    stored = crawled_index.stored_bucket(F.col("bucket"))
     bounds = (
         keyed.where("revisit_key IS NOT NULL")
-        .groupBy(F.length(stored).alias("width"))
-        .agg(F.min(stored).alias("low"), F.max(stored).alias("high"))
+        .groupBy(F.length("bucket"))
+        .agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"))
         .collect()
     )
-    wanted = F.lit(False)
-    for row in bounds:
-        bucket = F.col("bucket")
-        wanted = wanted | ((F.length(bucket) == row.width) & bucket.between(row.low, row.high))
-    return index.where(wanted)
+    parts = [crawled_index.bucket_range(index, row.low, row.high) for row in bounds]
+    return reduce(DataFrame.unionByName, parts) if parts else index.where(F.lit(False))
 
 
 def decide_batch(

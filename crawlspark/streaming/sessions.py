@@ -1,94 +1,82 @@
-"""Write sessions on a stream: closed by their end message, not by a gap."""
+"""Write sessions on a stream: closed by their end message, not by a gap.
 
-from collections.abc import Iterator
+The messages of open sessions are kept as one table per micro-batch, so the
+bytes stay in the JVM and a session of any size is only ever rows.
+"""
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+import time
+from collections.abc import Callable
 
-from crawlspark.sources.warc_sink import ship_package
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+from crawlspark.schemas import MESSAGE
+from crawlspark.workspace import delete_dir, dir_exists
 
-_CHUNK = "seq long, kind string, record_num int, data binary"
-CHUNK_COLUMNS = ["seq", "kind", "record_num", "data"]
-OUTPUT = f"request_id long, {_CHUNK}"
 TERMINAL_KINDS = ("eof", "cancel")
-ABANDONED_AFTER_MS = 24 * 3600 * 1000
-ROWS_PER_FRAME = 1000
-
+ABANDONED_AFTER_SECONDS = 24 * 3600
 
-class SessionBuffer(StatefulProcessor):
-    """Holds the messages of an open session and releases them when it ends.
+_OPEN = T.StructType([*MESSAGE.fields, T.StructField("arrived", T.LongType())])
 
-    The messages stay in the state store as a list and stream through on
-    release. State of a session without an end expires.
-    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.chunks = handle.getListState("chunks", _CHUNK, ttlDurationMs=ABANDONED_AFTER_MS)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ended = False
-        for frame in rows:
-            ended = ended or frame["kind"].isin(TERMINAL_KINDS).any()
-            self.chunks.appendList(list(frame[CHUNK_COLUMNS].itertuples(index=False, name=None)))
-        if ended:
-            yield from self._release(key[0])
-            self.chunks.clear()
-
-    def _release(self, request_id: int) -> Iterator[pd.DataFrame]:
-        held = []
-        for chunk in self.chunks.get():
-            held.append((request_id, *chunk))
-            if len(held) == ROWS_PER_FRAME:
-                yield self._frame(held)
-                held = []
-        if held:
-            yield self._frame(held)
-
-    @staticmethod
-    def _frame(held: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(held, columns=["request_id", *CHUNK_COLUMNS])
-        return frame.astype({"record_num": "Int32"})
-
-    def close(self) -> None:
-        pass
-
-
-def complete_sessions(messages: DataFrame) -> DataFrame:
-    """Messages of a stream, each session as a whole once it has ended."""
+def split_ended(messages: DataFrame, arrivals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(messages of sessions that ended in ``arrivals``, messages of the others)."""
+    ended = arrivals.where(F.col("kind").isin(*TERMINAL_KINDS)).select("request_id").distinct()
     return (
-        messages.select("request_id", *CHUNK_COLUMNS)
-        .groupBy("request_id")
-        .transformWithStateInPandas(
-            SessionBuffer(), outputStructType=OUTPUT, outputMode="append", timeMode="ProcessingTime"
-        )
+        messages.join(ended, "request_id", "left_semi"),
+        messages.join(ended, "request_id", "left_anti"),
     )
 
 
-def start(messages: DataFrame, path: str, **trigger) -> StreamingQuery:
-    """Stream of messages -> messages of complete sessions under ``path/sessions``."""
-    spark = messages.sparkSession
-    ship_package()
+def drop_abandoned(messages: DataFrame, oldest: int) -> DataFrame:
+    """Open sessions that have received something since ``oldest``."""
+    alive = messages.groupBy("request_id").agg(F.max("arrived").alias("last")).where(F.col("last") >= oldest)
+    return messages.join(alive, "request_id", "left_semi")
+
+
+def close_batch(batch: DataFrame, path: str, batch_id: int, now: int, abandoned_after: int) -> None:
+    """Release whole sessions of one micro-batch; repeatable by batch id.
+
+    Reads what the batch before left open and writes ``sessions`` and ``open``
+    of its own id. The state before that is no longer needed by any retry.
+    """
+    spark = batch.sparkSession
+    before = f"{path}/open/batch={batch_id - 1}"
+    messages = batch.select(*MESSAGE.names).withColumn("arrived", F.lit(now))
+    if dir_exists(spark, before):
+        messages = spark.read.schema(_OPEN).parquet(before).unionByName(messages)
+    complete, open_ones = split_ended(messages, batch)
+    complete.drop("arrived").write.mode("overwrite").parquet(f"{path}/sessions/batch={batch_id}")
+    alive = drop_abandoned(open_ones, now - abandoned_after)
+    alive.write.mode("overwrite").parquet(f"{path}/open/batch={batch_id}")
+    delete_dir(spark, f"{path}/open/batch={batch_id - 2}")
+
+
+def start(
+    messages: DataFrame,
+    path: str,
+    abandoned_after: int = ABANDONED_AFTER_SECONDS,
+    clock: Callable[[], float] = time.time,
+    **trigger,
+) -> StreamingQuery:
+    """Stream of messages -> messages of complete sessions under ``path/sessions``.
+
+    A session ends with its ``eof`` or ``cancel`` message and is released as a
+    whole. One that receives nothing for ``abandoned_after`` seconds is dropped.
+    """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/sessions/batch={batch_id}")
-
-    provider = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        return (
-            complete_sessions(messages)
-            .writeStream.foreachBatch(handle)
-            .option("checkpointLocation", f"{path}/checkpoint")
-            .trigger(**trigger)
-            .start()
-        )
-    finally:
-        spark.conf.set(PROVIDER, provider)
+        close_batch(batch, path, batch_id, int(clock()), abandoned_after)
+
+    return (
+        messages.writeStream.foreachBatch(handle)
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(**trigger)
+        .start()
+    )
 
 
 def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/sessions")
+    return spark.read.schema(MESSAGE).parquet(f"{path}/sessions")

@@ -39,8 +39,22 @@ class Scratch:
         return self.spark.read.schema(frame.schema).parquet(path)
 
 
+def _on_file_system(spark: SparkSession, path: str):
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path, hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def dir_exists(spark: SparkSession, path: str) -> bool:
+    hadoop_path, file_system = _on_file_system(spark, path)
+    return file_system.exists(hadoop_path)
+
+
+def delete_dir(spark: SparkSession, path: str) -> None:
+    hadoop_path, file_system = _on_file_system(spark, path)
+    file_system.delete(hadoop_path, True)
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme of the file system Spark would use for it."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    file_system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    hadoop_path, file_system = _on_file_system(spark, path)
     return hadoop_path.makeQualified(file_system.getUri(), file_system.getWorkingDirectory()).toString()
