@@ -1,6 +1,6 @@
 """From records to places in rotating archive files."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlspark.functions import headers
@@ -39,12 +39,22 @@ def with_concurrent_to(records: DataFrame) -> DataFrame:
     )
 
 
+def _head(settings: ArchiveSettings) -> Column:
+    return headers.head_text(headers.record_fields(F.col("concurrent_to")), settings.warc_version)
+
+
 def with_head(records: DataFrame, settings: ArchiveSettings) -> DataFrame:
-    """Adds the header text and the bytes the record will take in a file."""
-    head = headers.head_text(headers.record_fields(F.col("concurrent_to")), settings.warc_version)
-    return records.withColumn("head", head).withColumn(
-        "stored_size", headers.record_bytes(F.col("head"), F.col("size"))
-    )
+    """Adds the header text of the record."""
+    return records.withColumn("head", _head(settings))
+
+
+def with_stored_size(records: DataFrame, settings: ArchiveSettings) -> DataFrame:
+    """Adds the bytes the record will take in a file.
+
+    The header text itself is made again by ``with_head`` where it is needed,
+    so that no shuffle carries it.
+    """
+    return records.withColumn("stored_size", headers.record_bytes(_head(settings), F.col("size")))
 
 
 def with_lane(records: DataFrame, pool_size: int) -> DataFrame:

@@ -43,9 +43,9 @@ def placed_records(decided: DataFrame, settings: ArchiveSettings, scratch: Scrat
 
     Only narrow columns take part; the blocks join them in the writer.
     """
-    headed = files.with_head(decided, settings)
-    named = files.with_file_name(file_offsets(headed, "stored_size", settings, scratch), settings)
-    return files.with_info_record(named, settings)
+    sized = files.with_stored_size(decided, settings)
+    named = files.with_file_name(file_offsets(sized, "stored_size", settings, scratch), settings)
+    return files.with_info_record(files.with_head(named, settings), settings)
 
 
 def file_offsets(
