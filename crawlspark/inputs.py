@@ -13,6 +13,7 @@ from crawlspark.schemas import MESSAGE, RECORD_META
 from crawlspark.sources.config import decode_config
 
 FILE_SIZE = 1024
+LARGE_FILE_SIZE = 1024 * 1024
 FAULTS = 23
 
 RESPONSE_HEAD = f"HTTP/1.1 200 OK{CRLF}{CRLF}"
@@ -45,7 +46,7 @@ def config_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.get(dedup, k % 5).alias("collectionDedupPolicy"),
                     F.get(rotation, (k + F.expr("s_suppkey div 5")) % 5).alias("fileRotationPolicy"),
                     (k % 3 == 2).alias("compress"),
-                    F.lit(FILE_SIZE).alias("fileSize"),
+                    F.when(k < 3, FILE_SIZE).otherwise(LARGE_FILE_SIZE).alias("fileSize"),
                 ),
             ).alias("collection"),
         )
@@ -138,9 +139,10 @@ def single_records(
 
 
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web pages as responses: large payloads without duplicates."""
+    """Web pages as responses: large payloads, half of them for compressed files."""
+    collection = F.when(F.col("page_id") % 2 == 0, "c3").otherwise("c5")
     return single_records(
-        spark, sf_dir, "pages", "page_id", F.col("url"), "html", "RESPONSE", F.lit("c2")
+        spark, sf_dir, "pages", "page_id", F.col("url"), "html", "RESPONSE", collection
     )
 
 

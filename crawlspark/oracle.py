@@ -137,7 +137,8 @@ TABLES = {
         CASE WHEN s_suppkey % 10 = 7 THEN 'NONE'
             ELSE ['MONTHLY','HOURLY','YEARLY','NONE','DAILY'][(s_suppkey + s_suppkey // 5) % 5 + 1] END AS rotation_policy,
         s_suppkey % 10 <> 7 AND s_suppkey % 3 = 2 AS compress,
-        CAST(CASE WHEN s_suppkey % 10 = 7 THEN 0 ELSE 1024 END AS BIGINT) AS file_size,
+        CAST(CASE WHEN s_suppkey % 10 = 7 THEN 0 WHEN s_suppkey < 3 THEN 1024 ELSE 1048576 END AS BIGINT)
+            AS file_size,
         s_suppkey % 10 <> 7 AS sufficient FROM supplier""",
     "plain": f"""SELECT request_id, record_num, record_type, target_uri, ip_address, {CONTENT_TYPE} AS content_type,
         CASE record_type WHEN 'RESPONSE' THEN {RESPONSE_HEAD} WHEN 'REQUEST' THEN {REQUEST_HEAD} ELSE '' END AS header,
@@ -549,6 +550,13 @@ ORACLE: dict[str, str] = {
         size AS content_length FROM (SELECT r.*, CASE WHEN r.is_revisit THEN sha1(p.header) ELSE sha1(p.header||p.payload) END
         AS block_sha1 FROM rewritten r JOIN plain p ON r.request_id = p.request_id AND r.record_num = p.record_num)""",
     ),
+    "warc_write_pages": f"""SELECT page_id AS request_id, 0 AS record_num,
+        CASE WHEN first = page_id THEN 'RESPONSE' ELSE 'REVISIT' END AS record_type,
+        CASE WHEN first = page_id THEN {sha1_hex(f"{RESPONSE_HEAD}||html")} ELSE 'sha1:'||{base32(f"sha1({RESPONSE_HEAD})")} END
+            AS block_digest,
+        upper(sha1(block)) AS block_sha1, {octets('block')} AS size, {octets('block')} AS content_length
+        FROM (SELECT *, CASE WHEN first = page_id THEN {RESPONSE_HEAD}||html ELSE {RESPONSE_HEAD} END AS block
+            FROM (SELECT *, min(page_id) OVER (PARTITION BY page_id % 2, html) AS first FROM pages))""",
     "writer_load": over(
         "records",
         f"""SELECT collection_id||'#'||sub_collection AS writer_key, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes

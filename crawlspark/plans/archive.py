@@ -33,9 +33,13 @@ def key_records(measured: DataFrame, settings: ArchiveSettings, scratch: Scratch
 def decided_records(
     keyed: DataFrame, settings: ArchiveSettings, scratch: Scratch, index: DataFrame | None = None
 ) -> DataFrame:
-    """Keyed records after the revisit decision and its rewrite."""
+    """Keyed records after the revisit decision and its rewrite.
+
+    Their sizes in a file are final from here on and are kept with them.
+    """
     decided = revisit.detect_revisits(keyed, settings.salts, index)
-    return scratch.keep(revisit.rewrite_revisits(decided, settings), "decided")
+    rewritten = revisit.rewrite_revisits(decided, settings)
+    return scratch.keep(files.with_stored_size(rewritten, settings), "decided")
 
 
 def placed_records(decided: DataFrame, settings: ArchiveSettings, scratch: Scratch) -> DataFrame:
@@ -43,8 +47,7 @@ def placed_records(decided: DataFrame, settings: ArchiveSettings, scratch: Scrat
 
     Only narrow columns take part; the blocks join them in the writer.
     """
-    sized = files.with_stored_size(decided, settings)
-    named = files.with_file_name(file_offsets(sized, "stored_size", settings, scratch), settings)
+    named = files.with_file_name(file_offsets(decided, "stored_size", settings, scratch), settings)
     return files.with_info_record(files.with_head(named, settings), settings)
 
 

@@ -537,6 +537,19 @@ def q_warc_write(spark, sf_dir):
     return warc_sink.read_back(spark, path)
 
 
+@query
+def q_warc_write_pages(spark, sf_dir):
+    """Large blocks in files of a megabyte, plain and compressed."""
+    scratch, path = Scratch(spark), shared_dir(spark, "warc")
+    pages = inputs.page_records(spark, sf_dir)
+    config = inputs.collection_config(spark, sf_dir)
+    keyed = archive.keyed_records(pages, config, SETTINGS, scratch)
+    decided = archive.decided_records(keyed, SETTINGS, scratch)
+    placed = scratch.keep(archive.placed_records(decided, SETTINGS, scratch), "placed")
+    warc_sink.write_files(spark, placed, assembly.block_chunks(pages), path)
+    return warc_sink.read_back(spark, path)
+
+
 # Counts.
 
 
