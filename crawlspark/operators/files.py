@@ -39,22 +39,25 @@ def with_concurrent_to(records: DataFrame) -> DataFrame:
     )
 
 
-def _head(settings: ArchiveSettings) -> Column:
+def head(settings: ArchiveSettings) -> Column:
+    """Header text of a record."""
     return headers.head_text(headers.record_fields(F.col("concurrent_to")), settings.warc_version)
 
 
-def with_head(records: DataFrame, settings: ArchiveSettings) -> DataFrame:
-    """Adds the header text of the record."""
-    return records.withColumn("head", _head(settings))
+def info(settings: ArchiveSettings) -> Column:
+    """Leading info record of a record's file."""
+    return headers.info_record(
+        headers.info_body(settings.warc_version, settings.host), settings.warc_version
+    )
 
 
 def with_stored_size(records: DataFrame, settings: ArchiveSettings) -> DataFrame:
     """Adds the bytes the record will take in a file.
 
-    The header text itself is made again by ``with_head`` where it is needed,
-    so that no shuffle carries it.
+    The texts are made again where a file is written; no shuffle before that
+    carries them.
     """
-    return records.withColumn("stored_size", headers.record_bytes(_head(settings), F.col("size")))
+    return records.withColumn("stored_size", headers.record_bytes(head(settings), F.col("size")))
 
 
 def with_lane(records: DataFrame, pool_size: int) -> DataFrame:
@@ -117,11 +120,8 @@ def file_info(placed: DataFrame, settings: ArchiveSettings) -> DataFrame:
     )
 
 
-def with_info_record(placed: DataFrame, settings: ArchiveSettings) -> DataFrame:
-    """Adds the info record of the file and moves offsets behind it."""
-    body = headers.info_body(settings.warc_version, settings.host)
-    return placed.withColumn("info", headers.info_record(body, settings.warc_version)).withColumn(
-        "offset", F.col("offset") + F.octet_length("info")
+def behind_info_record(placed: DataFrame, settings: ArchiveSettings) -> DataFrame:
+    """Moves offsets behind the info record; ``opens_file`` marks each file's first record."""
+    return placed.withColumn("opens_file", F.col("offset") == 0).withColumn(
+        "offset", F.col("offset") + F.octet_length(info(settings))
     )
-
-

@@ -1,6 +1,6 @@
 """Counts over sessions, writers, calendar buckets and values."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from crawlspark.functions.calendar import POLICIES, rotation_key
@@ -17,6 +17,15 @@ def session_counts(statuses: DataFrame) -> DataFrame:
     return statuses.groupBy("status", "code").agg(F.count("*").alias("n"))
 
 
+def observe_sessions(statuses: DataFrame, observation: Observation) -> DataFrame:
+    """The same sessions, counted on the way: all calls, and those replied to with an error."""
+    return statuses.observe(
+        observation,
+        F.count("*").alias("calls"),
+        F.count_if(F.col("code") != "OK").alias("errors"),
+    )
+
+
 def writer_load(records: DataFrame) -> DataFrame:
     """Records and bytes that go to each writer, one per collection and sub-collection."""
     key = F.concat_ws("#", "collection", "sub_collection")

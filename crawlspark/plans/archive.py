@@ -43,12 +43,12 @@ def decided_records(
 
 
 def placed_records(decided: DataFrame, settings: ArchiveSettings, scratch: Scratch) -> DataFrame:
-    """Decided records with header text, file name and offset in the file.
+    """Decided records with file name and offset in the file.
 
     Only narrow columns take part; the blocks join them in the writer.
     """
-    named = files.with_file_name(file_offsets(decided, "stored_size", settings, scratch), settings)
-    return files.with_info_record(files.with_head(named, settings), settings)
+    offsets = file_offsets(decided, "stored_size", settings, scratch)
+    return files.behind_info_record(files.with_file_name(offsets, settings), settings)
 
 
 def file_offsets(
@@ -131,11 +131,11 @@ def read_sessions(
 
 
 def write_archive(
-    spark: SparkSession, placed: DataFrame, chunks: DataFrame, path: str
+    placed: DataFrame, chunks: DataFrame, path: str, settings: ArchiveSettings
 ) -> DataFrame:
     """Write the WARC files and return the index with the stored positions."""
-    warc_sink.write_files(spark, placed, chunks, path)
-    stored = warc_sink.read_positions(spark, path)
+    warc_sink.write_files(placed, chunks, path, settings)
+    stored = warc_sink.read_positions(placed.sparkSession, path)
     return write_index(
         placed.drop("file_name", "offset").join(stored, ["request_id", "record_num"])
     )
@@ -159,6 +159,6 @@ def archive_batch(
     known = crawled_index.read_index(spark, f"{path}/crawled", before_batch=batch)
     decided = decided_records(keyed, settings, scratch, known)
     placed = scratch.keep(placed_records(decided, settings, scratch), "placed")
-    index = write_archive(spark, placed, chunks, f"{path}/warc/batch={batch}")
+    index = write_archive(placed, chunks, f"{path}/warc/batch={batch}", settings)
     index.write.mode("overwrite").parquet(f"{path}/index/batch={batch}")
     crawled_index.append_batch(revisit.index_rows(decided), f"{path}/crawled", batch)

@@ -533,7 +533,7 @@ def q_warc_write(spark, sf_dir):
     scratch, path = Scratch(spark), shared_dir(spark, "warc")
     placed = scratch.keep(placed_events(spark, sf_dir, scratch), "placed")
     chunks = assembly.block_chunks(inputs.event_records(spark, sf_dir))
-    warc_sink.write_files(spark, placed, chunks, path)
+    warc_sink.write_files(placed, chunks, path, SETTINGS)
     return warc_sink.read_back(spark, path)
 
 
@@ -546,7 +546,7 @@ def q_warc_write_pages(spark, sf_dir):
     keyed = archive.keyed_records(pages, config, SETTINGS, scratch)
     decided = archive.decided_records(keyed, SETTINGS, scratch)
     placed = scratch.keep(archive.placed_records(decided, SETTINGS, scratch), "placed")
-    warc_sink.write_files(spark, placed, assembly.block_chunks(pages), path)
+    warc_sink.write_files(placed, assembly.block_chunks(pages), path, SETTINGS)
     return warc_sink.read_back(spark, path)
 
 

@@ -1,13 +1,38 @@
 """Write messages, as a table or as a file stream."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from crawlspark.schemas import MESSAGE
+from crawlspark.schemas import MESSAGE, RECORD_META, REQUEST_META
 
 
-def read_messages(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MESSAGE).parquet(path)
+def _json_schema() -> T.StructType:
+    """Message schema with text as the key of record metadata: JSON has no other keys."""
+    meta = T.StructType([*REQUEST_META.fields])
+    meta.fields[meta.names.index("record_meta")] = T.StructField(
+        "record_meta", T.MapType(T.StringType(), RECORD_META)
+    )
+    message = T.StructType([*MESSAGE.fields])
+    message.fields[message.names.index("meta")] = T.StructField("meta", meta)
+    return message
 
 
-def stream_messages(spark: SparkSession, path: str, **options) -> DataFrame:
-    return spark.readStream.schema(MESSAGE).options(**options).parquet(path)
+def _with_numbers(messages: DataFrame) -> DataFrame:
+    numbered = F.transform_keys("meta.record_meta", lambda number, _: number.cast("int"))
+    return messages.withColumn("meta", F.col("meta").withField("record_meta", numbered))
+
+
+def read_messages(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """Messages stored as parquet, or as JSON lines with base64 data."""
+    if form == "json":
+        return _with_numbers(spark.read.schema(_json_schema()).json(path))
+    return spark.read.schema(MESSAGE).format(form).load(path)
+
+
+def stream_messages(spark: SparkSession, path: str, form: str = "parquet", **options) -> DataFrame:
+    """The same as a file stream; ``options`` bound what one micro-batch takes in."""
+    reader = spark.readStream.options(**options)
+    if form == "json":
+        return _with_numbers(reader.schema(_json_schema()).json(path))
+    return reader.schema(MESSAGE).format(form).load(path)

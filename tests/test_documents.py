@@ -1,11 +1,13 @@
 import datetime
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 import sample
 from crawlspark.sources import documents
 from crawlspark.sources.config import read_config
+from crawlspark.sources.messages import read_messages
 
 
 def test_lenient_strict_and_malformed(spark):
@@ -54,3 +56,12 @@ def test_config_defaults_and_files(spark, tmp_path):
     read = read_config(spark, str(tmp_path))
     assert read.schema == sample.config(spark).schema
     assert sorted(map(str, read.collect())) == sorted(map(str, rows.values()))
+
+
+@pytest.mark.parametrize("form", ["parquet", "json"])
+def test_messages_are_stored_either_way(spark, tmp_path, form):
+    rows = sample.messages(spark, sample.session())
+    rows.write.format(form).save(str(tmp_path / form))
+    read = read_messages(spark, str(tmp_path / form), form)
+    assert read.select("seq", "kind", "data").exceptAll(rows.select("seq", "kind", "data")).count() == 0
+    assert read.where("meta.record_meta[1].size = 267").count() == 1

@@ -1,8 +1,9 @@
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 import sample
-from crawlspark.operators import assembly, sessions
+from crawlspark.operators import assembly, metrics, sessions
 from crawlspark.plans import archive
 from crawlspark.settings import ArchiveSettings
 
@@ -102,6 +103,9 @@ def test_first_broken_rule_is_reported(spark, scratch):
     assert accepted == {11, 12}
     statuses = {(r.status, r.code): r.n for r in found.statuses().groupBy("status", "code").agg(F.count("*").alias("n")).collect()}
     assert statuses == {("OK", "OK"): 2, ("REJECTED", "Unknown"): 12}
+    observation = Observation("sessions")
+    metrics.observe_sessions(found.statuses(), observation).collect()
+    assert observation.get == {"calls": 14, "errors": 12}
 
 
 def test_lenient_validation_only_warns(spark, scratch):
