@@ -169,9 +169,14 @@ def q_session_outcome(spark, sf_dir):
 
 @query
 def q_assemble_records(spark, sf_dir):
-    messages = inputs.conversation_messages(spark, sf_dir)
+    return _assembled(inputs.conversation_messages(spark, sf_dir))
+
+
+def _assembled(messages: DataFrame) -> DataFrame:
+    # Kept whole, so that both ways of measuring share one shuffle of the bytes.
     records = assembly.assemble_records(messages, SETTINGS.max_block_bytes)
-    return records.select(*RECORD, "n_chunks", "size", F.col("block_digest").alias("digest"))
+    kept = Scratch(messages.sparkSession).keep(records, "assembled")
+    return kept.select(*RECORD, "n_chunks", "size", F.col("block_digest").alias("digest"))
 
 
 @query
@@ -596,9 +601,7 @@ def q_stream_sessions(spark, sf_dir):
         source,
         lambda: stream_session.start(stream_messages(spark, source), path, availableNow=True),
     )
-    complete = stream_session.read_sessions(spark, path)
-    records = assembly.assemble_records(complete, SETTINGS.max_block_bytes)
-    return records.select(*RECORD, "n_chunks", "size", F.col("block_digest").alias("digest"))
+    return _assembled(stream_session.read_sessions(spark, path))
 
 
 @query

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from crawlspark import inputs
-from crawlspark.operators import metrics, revisit
+from crawlspark.operators import assembly, metrics, revisit
 from crawlspark.plans import archive
 from crawlspark.settings import ArchiveSettings
 
@@ -57,3 +57,10 @@ def test_scans_read_only_what_they_need(spark, sf_dir):
     counted = executed(metrics.bucket_counts(events.withColumn("at", F.col("ts").cast("timestamp")), "at"))
     assert "ReadSchema: struct<ts:timestamp_ntz>" in counted
     assert "partial_count" in counted
+
+
+def test_chunks_are_shuffled_once(spark, sf_dir):
+    records = assembly.assemble_records(inputs.conversation_messages(spark, sf_dir), 1 << 20)
+    records.collect()
+    final = executed(records).split("== Initial Plan ==")[0]
+    assert final.count("Exchange hashpartitioning") - final.count("ReusedExchange") == 1
