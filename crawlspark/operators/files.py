@@ -88,7 +88,8 @@ def number_files(placed: DataFrame) -> DataFrame:
         F.min("fetch_ts").alias("opened"),
         F.lit(1).alias("one"),
     )
-    numbered = running_total(files, LANE, "volume", "one", "earlier")
+    # One level of pages is enough: a lane has fewer than 2^40 volumes.
+    numbered = running_total(files, LANE, "volume", "one", "earlier", levels=1)
     numbered = numbered.select(
         *LANE, "volume", "file_start", "opened", (F.col("earlier") + 1).alias("serial")
     )
