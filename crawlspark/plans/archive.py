@@ -157,7 +157,7 @@ def archive_batch(
     """
     scratch = Scratch(spark, f"{path}/plan/batch={batch}")
     known = crawled_index.read_index(spark, f"{path}/crawled", before_batch=batch)
-    decided = decided_records(keyed, settings, scratch, known)
+    decided = decided_records(keyed, settings, scratch, crawled_index.relevant(known, keyed))
     placed = scratch.keep(placed_records(decided, settings, scratch), "placed")
     index = write_archive(placed, chunks, f"{path}/warc/batch={batch}", settings)
     index.write.mode("overwrite").parquet(f"{path}/index/batch={batch}")

@@ -1,10 +1,8 @@
 """Revisit detection on a stream: the batch decision against a growing index."""
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from crawlspark.operators import revisit
@@ -14,22 +12,6 @@ from crawlspark.sources import crawled_index
 from crawlspark.workspace import Scratch
 
 
-def relevant_index(index: DataFrame, keyed: DataFrame) -> DataFrame:
-    """The index without the calendar buckets that cannot match ``keyed``.
-
-    The bounds are one row per bucket format, so at most five come to the
-    driver; they become filters of the index scan.
-    """
-    bounds = (
-        keyed.where("revisit_key IS NOT NULL")
-        .groupBy(F.length("bucket"))
-        .agg(F.min("bucket").alias("low"), F.max("bucket").alias("high"))
-        .collect()
-    )
-    parts = [crawled_index.bucket_range(index, row.low, row.high) for row in bounds]
-    return reduce(DataFrame.unionByName, parts) if parts else index.where(F.lit(False))
-
-
 def decide_batch(
     keyed: DataFrame, path: str, batch: int, settings: ArchiveSettings, scratch: Scratch
 ) -> DataFrame:
@@ -40,7 +22,7 @@ def decide_batch(
     """
     spark = keyed.sparkSession
     index = crawled_index.read_index(spark, f"{path}/crawled", before_batch=batch)
-    decided = archive.decided_records(keyed, settings, scratch, relevant_index(index, keyed))
+    decided = archive.decided_records(keyed, settings, scratch, crawled_index.relevant(index, keyed))
     crawled_index.append_batch(revisit.index_rows(decided), f"{path}/crawled", batch)
     return decided
 

@@ -121,6 +121,20 @@ def test_index_pruned_by_bucket(spark):
     assert "PartitionFilters: [isnotnull(period" in plan
 
 
+def test_few_keys_go_to_the_index_and_many_meet_it(spark, monkeypatch):
+    index = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "digest string, n int")
+    keys = spark.createDataFrame([("k1",), ("k1",), ("k2",), ("x",)], "digest string")
+    for limit, expected in ((10, True), (1, False)):
+        monkeypatch.setattr(crawled_index, "BROADCAST_KEYS", limit)
+        found = crawled_index.matching(index, keys)
+        assert sorted(r.digest for r in found.collect()) == ["k1", "k2"]
+        assert ("strategy=broadcast" in found._jdf.queryExecution().logical().toString()) == expected
+    none = crawled_index.relevant(
+        crawled_index.read_index(spark, shared_dir(spark, "none")), keyed(spark, [(1, 0, None)])
+    )
+    assert none.count() == 0
+
+
 def test_sample_session_as_a_revisit(spark, scratch):
     """The stored id passes through as it is, even if it is no valid UUID."""
     messages = sample.messages(spark, sample.session())
