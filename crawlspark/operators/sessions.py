@@ -19,6 +19,19 @@ STATUS_CODES = {
     "REJECTED": "Unknown",
 }
 
+# Wording of the session errors; those ending in a colon or
+# "number" are followed by the collection or record they are about.
+NO_META = "missing metadata object"
+NO_COLLECTION = "missing collection ref"
+NO_ADDRESS = "missing IP-address"
+NO_TARGET = "missing target URI"
+NO_CONFIG = "failed to get collection config: "
+POOR_CONFIG = "collection with id '%s' is missing or insufficient"
+NO_RECORD_META = "missing metadata for record num: "
+NOT_BUILT = "failed to build record number "
+NOT_VALID = "failed to validate record number "
+NOT_DENSE = "non-contiguous record numbers"
+
 
 def data_messages(messages: DataFrame) -> DataFrame:
     return messages.where(F.col("kind").isin(*DATA_KINDS))
@@ -151,12 +164,9 @@ def record_errors(described: DataFrame, strict: bool) -> DataFrame:
     invalid = wrong if strict else F.lit(False)
     return audited.withColumn(
         "error",
-        F.when(~F.col("has_meta"), F.concat(F.lit("missing metadata for record num: "), number))
-        .when(
-            ids.record_type_code(F.col("record_type")) == 0,
-            F.concat(F.lit("failed to build record number "), number),
-        )
-        .when(invalid, F.concat(F.lit("failed to validate record number "), number)),
+        F.when(~F.col("has_meta"), F.concat(F.lit(NO_RECORD_META), number))
+        .when(ids.record_type_code(F.col("record_type")) == 0, F.concat(F.lit(NOT_BUILT), number))
+        .when(invalid, F.concat(F.lit(NOT_VALID), number)),
     )
 
 
@@ -200,17 +210,14 @@ def validate_sessions(
     )
     name = F.coalesce("collection_id", F.lit(""))
     error = (
-        F.when(~F.col("has_meta"), "missing metadata object")
-        .when(~F.col("has_ref"), "missing collection ref")
-        .when(is_missing(F.col("ip_address")), "missing IP-address")
-        .when(is_missing(F.col("target_uri")), "missing target URI")
-        .when(F.col("sufficient").isNull(), F.concat(F.lit("failed to get collection config: "), name))
-        .when(
-            ~F.col("sufficient"),
-            F.concat(F.lit("collection with id '"), name, F.lit("' is missing or insufficient")),
-        )
+        F.when(~F.col("has_meta"), NO_META)
+        .when(~F.col("has_ref"), NO_COLLECTION)
+        .when(is_missing(F.col("ip_address")), NO_ADDRESS)
+        .when(is_missing(F.col("target_uri")), NO_TARGET)
+        .when(F.col("sufficient").isNull(), F.concat(F.lit(NO_CONFIG), name))
+        .when(~F.col("sufficient"), F.format_string(POOR_CONFIG, name))
         .when(F.col("record_error").isNotNull(), F.col("record_error"))
-        .when(~F.col("is_dense"), "non-contiguous record numbers")
+        .when(~F.col("is_dense"), NOT_DENSE)
     )
     return (
         join_config(sessions, config)
