@@ -3,10 +3,9 @@
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
 from check_oracle import TABLES, normal
-
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+from crawlspark.oracle import ORACLE
+from crawlspark.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
