@@ -3,14 +3,14 @@
 #: The words of a text with A-Z in lower case.
 LOWER_WORDS = (
     "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
-    r"'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '')"
+    r"'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 )
 
 NEAR_DEDUP = f"""
 WITH RECURSIVE split AS (SELECT doc_id, {LOWER_WORDS} AS w FROM documents),
 shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
-    ELSE list_transform(range(1, len(w) - 2), i -> w[i : i + 3]) END) AS s FROM split),
+    ELSE list_transform(range(1, len(w) - 2), lambda i: w[i : i + 3]) END) AS s FROM split),
 hashed AS (SELECT doc_id, hash(s) AS h FROM shingles),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
 common AS (

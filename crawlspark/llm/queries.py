@@ -1,8 +1,9 @@
 """Queries of the operators for training data. Each takes (spark, sf_dir)."""
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crawlspark.llm import near_dedup
+from crawlspark.llm import near_dedup, quality_classifier
 from crawlspark.workspace import Scratch
 
 
@@ -10,9 +11,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """A third of the documents, by id: no label of these is learned from. A null id is not held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def fitted_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_classifier.QualityModel:
+    return quality_classifier.fit_quality(docs.where(~held_out()), table(spark, sf_dir, "labels"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document, learned from the labels that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality_classifier.with_quality(docs, fitted_quality(spark, docs, sf_dir), keep=["doc_id"])
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, from sets of four-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), shingle_words=4)
 
 
-QUERIES = {"op10_near_dedup": op10_near_dedup}
+QUERIES = {
+    query.__name__: query
+    for query in (op5_quality_classifier, op10_near_dedup)
+}
