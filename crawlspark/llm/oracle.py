@@ -27,4 +27,57 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM documents LEFT JOIN sizes USING (doc_id) JOIN components USING (doc_id)
 """
 
-ORACLE = {"op10_near_dedup": NEAR_DEDUP}
+#: The measures of the quality rules. A word is repeated if one of the windows it lies in is.
+MEASURES = r"""
+split AS (SELECT doc_id, lang, coalesce(text, '') AS text,
+  list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(coalesce(text, ''), chr(10)),
+    lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM split WHERE len(w) > 2),
+counted AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i : i + 2]) AS n FROM windows),
+covered AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS place FROM counted WHERE n > 1),
+repeats AS (SELECT doc_id, count(*) AS n_repeat_words FROM covered GROUP BY doc_id),
+measures AS (
+  SELECT doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words,
+    len(w) < 50 OR 100 * coalesce(n_repeat_words, 0) > 50 * len(w) AS base_failed
+  FROM split LEFT JOIN repeats USING (doc_id)),
+rules AS (SELECT * FROM (VALUES
+  ('symbols', [800, 400, 200, 100, 50, 25]), ('dup_lines', [800, 600, 400, 300, 200, 100]),
+  ('repeats', [450, 400, 350, 300, 250, 200]), ('long_words', [20000, 15000, 12000, 10000, 9000, 8000]))
+  AS t(rule, cutoffs)),
+ratios AS (
+  SELECT doc_id, lang, base_failed, unnest([
+    {'rule': 'symbols', 'a': n_symbols, 'b': word_chars}, {'rule': 'dup_lines', 'a': n_dup_lines, 'b': n_lines},
+    {'rule': 'repeats', 'a': n_repeat_words, 'b': n_words},
+    {'rule': 'long_words', 'a': word_chars, 'b': n_words}], recursive := true) FROM measures),
+tests AS (
+  SELECT rule, unnest(cutoffs) AS cutoff, unnest(range(1, 7)) AS step FROM rules),
+good AS (SELECT lang, rule, a, b FROM ratios JOIN labels USING (doc_id) WHERE quality = 1 AND NOT base_failed),
+cells AS (
+  SELECT lang, rule, cutoff, step, count(*) AS n, count(*) FILTER (WHERE 1000 * a > cutoff * b) AS k
+  FROM good JOIN tests USING (rule) GROUP BY ALL),
+tails AS (
+  SELECT *, CASE WHEN k < 0.005 * n THEN list_sum(list_transform(range(0, k + 1), lambda i: exp(
+    lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005) + (n - i) * ln(0.995)))) ELSE 1 END AS p
+  FROM cells),
+passed AS (
+  SELECT lang, rule, cutoff, step, bool_and(p <= 0.05 / (4 * (SELECT count(DISTINCT coalesce(lang, '')) FROM good)))
+    OVER (PARTITION BY lang, rule ORDER BY step) AS ok FROM tails),
+cutoffs AS (SELECT lang, rule, arg_max(cutoff, step) AS cutoff FROM passed WHERE ok GROUP BY lang, rule),
+verdicts AS (
+  SELECT ratios.doc_id, bool_or(1000 * a > cutoff * b) AS exceeded
+  FROM ratios JOIN cutoffs ON ratios.rule = cutoffs.rule AND ratios.lang IS NOT DISTINCT FROM cutoffs.lang
+  GROUP BY ratios.doc_id)
+"""
+
+QUALITY_RULES = f"""
+WITH {MEASURES}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(exceeded, false) AS kept
+FROM measures LEFT JOIN verdicts USING (doc_id)
+"""
+
+ORACLE = {"op8_quality_rules": QUALITY_RULES, "op10_near_dedup": NEAR_DEDUP}

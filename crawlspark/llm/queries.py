@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlspark.llm import near_dedup, quality_classifier
+from crawlspark.llm import near_dedup, quality_classifier, quality_rules
 from crawlspark.workspace import Scratch
 
 
@@ -29,6 +29,14 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The measures and the verdict of every document, with cutoffs controlled by language."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality_rules.judged(docs, labels, Scratch(spark)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, from sets of four-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), shingle_words=4)
@@ -36,5 +44,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (op5_quality_classifier, op10_near_dedup)
+    for query in (op5_quality_classifier, op8_quality_rules, op10_near_dedup)
 }
