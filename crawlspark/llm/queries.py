@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlspark.llm import near_dedup, quality_classifier, quality_rules
+from crawlspark.llm import decontamination, near_dedup, quality_classifier, quality_rules
 from crawlspark.workspace import Scratch
 
 
@@ -37,6 +37,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of documents and benchmark items that leaked into them."""
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document, from sets of four-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), shingle_words=4)
@@ -44,5 +49,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (op5_quality_classifier, op8_quality_rules, op10_near_dedup)
+    for query in (op5_quality_classifier, op8_quality_rules, op9_decontamination, op10_near_dedup)
 }

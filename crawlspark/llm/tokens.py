@@ -46,6 +46,11 @@ def _places(size: int) -> np.ndarray:
     return _PLACES
 
 
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    """A copy with A-Z in lower case."""
+    return _LOWER[data]
+
+
 @dataclass
 class Texts:
     """Texts ``i`` are ``data[offsets[i]:offsets[i + 1]]``; null texts are empty."""
