@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlspark.llm import decontamination, near_dedup, quality_classifier, quality_rules
+from crawlspark.llm import decontamination, near_dedup, quality_classifier, quality_rules, segmentation
 from crawlspark.workspace import Scratch
 
 
@@ -29,6 +29,16 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The vocabulary of the sampled segmentations.
+SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = SENTENCEPIECE_MODEL) -> DataFrame:
+    """Sampled segmentations of every document: their sizes, probabilities and inclusion scores."""
+    vocabulary = segmentation.Vocabulary.load(model)
+    return segmentation.sampled_segmentations(table(spark, sf_dir, "documents"), vocabulary, with_ids=False)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measures and the verdict of every document, with cutoffs controlled by language."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -49,5 +59,5 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (op5_quality_classifier, op8_quality_rules, op9_decontamination, op10_near_dedup)
+    for query in (op5_quality_classifier, op6_sentencepiece, op8_quality_rules, op9_decontamination, op10_near_dedup)
 }

@@ -70,11 +70,11 @@ def texts(column: pa.Array) -> Texts:
     return Texts(data, offsets)
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, Texts]]:
-    """Runs of rows ``lo`` to ``hi`` with about ``SLICE_BYTES`` of text each."""
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int, Texts]]:
+    """Runs of rows ``lo`` to ``hi`` with about ``size`` bytes of text each."""
     whole, lo = texts(column), 0
     while lo < len(whole):
-        end = whole.offsets[lo] + SLICE_BYTES
+        end = whole.offsets[lo] + size
         hi = max(lo + 1, int(np.searchsorted(whole.offsets, end, "right")) - 1)
         part = whole.offsets[lo : hi + 1]
         yield lo, hi, Texts(whole.data[part[0] : part[-1]], part - part[0])
