@@ -80,4 +80,58 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM measures LEFT JOIN verdicts USING (doc_id)
 """
 
-ORACLE = {"op8_quality_rules": QUALITY_RULES, "op10_near_dedup": NEAR_DEDUP}
+#: Aliases by normal form and by links; then each URL's own rule, or else a block of its class.
+URL_FILTERS = r"""
+WITH RECURSIVE links AS (
+  SELECT url, unnest([
+    CASE WHEN contains(lower(html), 'canonical') THEN regexp_extract(regexp_extract(html,
+      '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1) END,
+    CASE WHEN contains(lower(html), 'refresh') THEN regexp_extract(regexp_extract(html,
+      '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END
+  ]) AS link FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+targets AS (
+  SELECT url, CASE WHEN contains(link, '://') THEN link
+    WHEN starts_with(link, '//') THEN regexp_extract(url, '^([^:/?#]+)://', 1) || ':' || link
+    WHEN starts_with(link, '/') THEN regexp_extract(url, '^([^:/?#]+)://', 1) || '://'
+      || lower(regexp_extract(url, '://([^/?#]*)', 1)) || link END AS target
+  FROM links WHERE link <> ''),
+linked AS (SELECT * FROM targets WHERE target IS NOT NULL),
+urls AS (SELECT url FROM pages WHERE url IS NOT NULL UNION SELECT url FROM linked UNION SELECT target FROM linked),
+parts AS (
+  SELECT url, lower(coalesce(regexp_extract(url, '://([^/?#]*)', 1), '')) AS host,
+    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+    regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '://[^/?#]*[^?#]*([^#]*)', 1), '^[?]', ''),
+      '(^|&)utm_[^&]*', '', 'g'), '^&', '') AS query FROM urls),
+normal AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(regexp_replace(host, ':(80|443)$', ''), '^www\.', '')
+    || regexp_replace(path, '(/index\.html?)?/*$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END
+    END AS node FROM parts),
+rules(rule_host, rule_path, rule_verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+fitting AS (
+  SELECT url, arg_max({'rule': rule_host || rule_path, 'verdict': rule_verdict}, length(rule_host || rule_path)) AS best
+  FROM normal JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY url),
+edges AS (
+  SELECT x.node AS a, y.node AS b FROM linked JOIN normal x ON x.url = linked.url JOIN normal y ON y.url = target
+  WHERE x.node IS NOT NULL AND y.node IS NOT NULL),
+both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+reach AS (
+  SELECT DISTINCT a, a AS b FROM both_ways UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.b),
+classes AS (SELECT a AS node, min(b) AS component FROM reach GROUP BY a),
+judged AS (
+  SELECT normal.url, best.rule AS rule, best.verdict AS own, coalesce(component, normal.node) AS alias_class
+  FROM normal LEFT JOIN fitting USING (url) LEFT JOIN classes ON classes.node = normal.node),
+blocked AS (SELECT DISTINCT alias_class FROM judged WHERE own = 'block' AND alias_class IS NOT NULL)
+SELECT page_id, lower(coalesce(regexp_extract(pages.url, '://([^/?#]*)', 1), '')) AS host,
+  coalesce(regexp_extract(pages.url, '://[^/?#]*([^?#]*)', 1), '') AS path, rule,
+  coalesce(own, CASE WHEN blocked.alias_class IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+  judged.alias_class AS alias_class
+FROM pages LEFT JOIN judged USING (url) LEFT JOIN blocked ON blocked.alias_class = judged.alias_class
+"""
+
+ORACLE = {
+    "op1_url_filters": URL_FILTERS,
+    "op8_quality_rules": QUALITY_RULES,
+    "op10_near_dedup": NEAR_DEDUP,
+}

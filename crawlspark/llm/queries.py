@@ -3,7 +3,15 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlspark.llm import decontamination, near_dedup, quality_classifier, quality_rules, segmentation
+from crawlspark.llm import (
+    decontamination,
+    near_dedup,
+    quality_classifier,
+    quality_rules,
+    segmentation,
+    sharding,
+    url_filters,
+)
 from crawlspark.workspace import Scratch
 
 
@@ -11,6 +19,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The rules of the URL filter (host, path, verdict), and the number of shards.
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+SHARDS = 8
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL, from rules and from its aliases."""
+    pages = table(spark, sf_dir, "pages")
+    rows = [F.struct(*[F.lit(v).alias(n) for n, v in zip(("host", "path", "verdict"), r, strict=True)]) for r in URL_RULES]
+    rules = spark.range(1).select(F.inline(F.array(*rows)))
+    scratch = Scratch(spark)
+    links = scratch.keep(url_filters.page_links(pages), "links")
+    return url_filters.judged(pages, links, rules, scratch)
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in a uniform shuffle into eight shards whose counts are at most one apart."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return sharding.sharded(docs, SHARDS, Scratch(spark)).select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """A third of the documents, by id: no label of these is learned from. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -59,5 +103,13 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     query.__name__: query
-    for query in (op5_quality_classifier, op6_sentencepiece, op8_quality_rules, op9_decontamination, op10_near_dedup)
+    for query in (
+        op1_url_filters,
+        op3_sharding,
+        op5_quality_classifier,
+        op6_sentencepiece,
+        op8_quality_rules,
+        op9_decontamination,
+        op10_near_dedup,
+    )
 }
