@@ -29,9 +29,18 @@ CHUNKS, CHUNK_SYMBOLS = 12, 7
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 #: So many errors can't put two into every chunk.
 GUARANTEED_DISTANCE = 2 * CHUNKS - 1
-#: Candidates also compare three more bits of each symbol. 0.8 similar sets differ in 25 of these bits
-#: on average with a deviation of 6.5, so seven deviations are allowed for.
-SKETCH_DISTANCE = 70
+#: Candidates may differ in so many symbols, judged by four bits of each. 0.8 similar sets differ in
+#: 15.8 of the 84 on average with a deviation of 3.6; more than 35 have a probability below 1e-6.
+SIGNATURE_DISTANCE = 35
+_LANES = -(-SYMBOLS // 16)
+_SKETCH = [f"nibbles{k}" for k in range(_LANES)]
+
+_FREQUENCY_SLOTS = 1 << 16
+
+
+def _slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(48)).astype(np.int64)
+
 
 _FACTORS = random_table(SYMBOLS, 2)
 
@@ -51,24 +60,23 @@ def _shingles(part, size: int) -> Iterator[np.ndarray]:
 
 
 def _sketch(sets: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """Of each non-empty set: two sums that identify it, its symbols, its bits."""
+    """Of each non-empty set: two sums that identify it, its symbols, and four more bits of each."""
     flat = np.concatenate(sets)
     begin = np.cumsum([0, *map(len, sets[:-1])])
     least = mix(np.stack([np.minimum.reduceat(flat * factor, begin) for factor in _FACTORS], 1))
-    bits = np.zeros((len(sets), 256), np.uint8)
-    for k in range(3):
-        bits[:, k * SYMBOLS : (k + 1) * SYMBOLS] = (least >> np.uint64(40 + k)).astype(np.uint8) & 1
+    nibbles = np.zeros((len(sets), 16 * _LANES), np.uint8)
+    nibbles[:, :SYMBOLS] = (least >> np.uint64(40)).astype(np.uint8) & 15
     return {
         "set_a": np.add.reduceat(mix(flat), begin).view(np.int64),
         "set_b": np.add.reduceat(mix(flat ^ np.uint64(0x5DEECE66D)), begin).view(np.int64),
         "symbols": (least & np.uint64(0xFFFF)).astype(np.uint16),
-        "bits": np.packbits(bits, axis=1).view(np.int64),
+        "nibbles": (nibbles[:, ::2] << 4 | nibbles[:, 1::2]).view(np.int64),
     }
 
 
 _SIGNATURE = (
     "doc_id long, n_shingles long, set_a long, set_b long, symbols binary, "
-    "bits0 long, bits1 long, bits2 long, bits3 long"
+    + ", ".join(f"{name} long" for name in _SKETCH)
 )
 
 
@@ -91,18 +99,18 @@ def signatures(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame
                     return pa.compute.if_else(empty, pa.scalar(None, kind), pa.array(values, kind).take(take))
 
                 if found is None:
-                    none = [pa.nulls(len(sets), t) for t in (pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4)]
+                    none = [pa.nulls(len(sets), t) for t in (pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * _LANES)]
                 else:
                     symbols = [row.tobytes() for row in found["symbols"]]
                     none = [
                         column(found["set_a"], pa.int64()),
                         column(found["set_b"], pa.int64()),
                         column(symbols, pa.binary()),
-                        *[column(found["bits"][:, k], pa.int64()) for k in range(4)],
+                        *[column(found["nibbles"][:, k], pa.int64()) for k in range(_LANES)],
                     ]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(sizes, pa.int64()), *none],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "symbols", "bits0", "bits1", "bits2", "bits3"],
+                    names=["doc_id", "n_shingles", "set_a", "set_b", "symbols", *_SKETCH],
                 )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, _SIGNATURE)
@@ -124,10 +132,15 @@ def index_keys(rows: DataFrame) -> DataFrame:
 
 def _near(x: str, y: str) -> Column:
     """Whether the sketches and sizes of two rows allow the similarity."""
-    distance = sum((F.bit_count(F.col(f"{x}.bits{k}").bitwiseXOR(F.col(f"{y}.bits{k}"))) for k in range(4)), F.lit(0))
+    distance = F.lit(0)
+    for lane in _SKETCH:
+        differ = F.col(f"{x}.{lane}").bitwiseXOR(F.col(f"{y}.{lane}"))
+        differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 2))
+        differ = differ.bitwiseOR(F.shiftrightunsigned(differ, 1))
+        distance = distance + F.bit_count(differ.bitwiseAND(F.lit(0x1111111111111111)))
     small = F.least(f"{x}.n_shingles", f"{y}.n_shingles")
     large = F.greatest(f"{x}.n_shingles", f"{y}.n_shingles")
-    return (distance <= SKETCH_DISTANCE) & (small * 100 >= large * SIMILARITY_PERCENT)
+    return (distance <= SIGNATURE_DISTANCE) & (small * 100 >= large * SIMILARITY_PERCENT)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -166,6 +179,48 @@ def _shingle_sets(docs: DataFrame, wanted: np.ndarray, shingle_words: int) -> Da
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(gather, "doc_id long, shingles binary")
 
 
+def _rare_shingles(sets: DataFrame) -> DataFrame:
+    """(key, rep, left): so many of each set's rarest shingles that two similar sets share one.
+
+    ``left`` counts the shingles from this one on in the order. If a fifth of a set plus one, taken in an order that all sets share, has nothing in common with
+    that of another set, their similarity is below 0.8. Rare shingles first keeps passages that many
+    documents quote out of it. Frequencies are counted by ``_FREQUENCY_SLOTS`` hash slots, so the
+    table that the tasks need has a fixed size; it decides the order only.
+    """
+
+    def count(batches):
+        totals = np.zeros(_FREQUENCY_SLOTS, np.int64)
+        for batch in batches:
+            for own in batch.column(0):
+                totals += np.bincount(_slots(np.frombuffer(own.as_buffer(), np.uint64)), minlength=len(totals))
+        some = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[some])], names=["slot", "n"])
+
+    counts = sets.select("shingles").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    seen = np.zeros(_FREQUENCY_SLOTS, np.int64)
+    for slot, n in counts.collect():
+        seen[slot] = n
+    sent = sets.sparkSession.sparkContext.broadcast(seen)
+
+    def pick(batches):
+        for batch in batches:
+            of, keys, left = [], [], []
+            for i, own in enumerate(batch.column(1)):
+                own = np.frombuffer(own.as_buffer(), np.uint64)
+                size = len(own) - -(-len(own) * SIMILARITY_PERCENT // 100) + 1
+                keys.append(own[np.lexsort((own, sent.value[_slots(own)]))[:size]])
+                left.append(np.arange(len(own), len(own) - size, -1))
+                of += [i] * size
+            keys = np.concatenate([*keys, np.zeros(0, np.uint64)])
+            left = np.concatenate([*left, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.view(np.int64)), batch.column(0).take(pa.array(of, pa.int64())), pa.array(left)],
+                names=["key", "rep", "left"],
+            )
+
+    return sets.select("doc_id", "shingles").mapInArrow(pick, "key long, rep long, left long")
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs`` (doc_id, text).
 
@@ -178,8 +233,8 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle_words: int = SHIN
 
     Equal sets are one class from the start. A class is compared with the least
     member of each of its index keys, so a group of copies costs as many pairs as
-    it has members. What stays apart under a key is then compared with
-    the rest of that key, so no link is lost.
+    it has members. Documents under a key that stays apart then meet by their
+    rare shingles, which loses no link.
     """
     signed = scratch.keep(signatures(docs, shingle_words), "signed")
     some = signed.where("n_shingles > 0")
@@ -188,7 +243,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle_words: int = SHIN
         some.groupBy(*identity)
         .agg(
             F.min("doc_id").alias("rep"),
-            *[F.first(c).alias(c) for c in ("symbols", "bits0", "bits1", "bits2", "bits3")],
+            *[F.first(c).alias(c) for c in ("symbols", *_SKETCH)],
         ),
         "classes",
     )
@@ -202,7 +257,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle_words: int = SHIN
     )
     large = groups.where("members > 2").select("key", "hub")
     members = scratch.keep(keys.join(large, "key"), "members")
-    sketch = ["n_shingles", "bits0", "bits1", "bits2", "bits3"]
+    sketch = ["n_shingles", *_SKETCH]
     shown = known.select("rep", *sketch)
 
     spokes = (
@@ -243,25 +298,37 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, shingle_words: int = SHIN
     links = links.union(more)
     parts = joined(links)
 
-    # Keys whose members are not all joined by now: those outside the key's largest part against all of it.
-    placed = scratch.keep(
-        members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
-            "key", "rep", F.coalesce("component", "rep").alias("part")
-        ),
-        "placed",
-    )
-    sizes = placed.groupBy("key", "part").count()
-    split = (
-        sizes.groupBy("key")
-        .agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts"))
-        .where("parts > 1")
-        .select("key", "main")
-    )
-    mixed = placed.join(split, "key").join(shown, "rep")
-    outside, inside = mixed.where("part <> main").alias("x"), mixed.alias("y")
+    def mixed(rows: DataFrame) -> DataFrame:
+        """The rows (key, rep) of keys with more than one part, each with the part most of its key is in."""
+        placed = scratch.keep(
+            rows.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
+                *rows.columns, F.coalesce("component", "rep").alias("part")
+            ),
+            "placed",
+        )
+        split = (
+            placed.groupBy("key", "part")
+            .count()
+            .groupBy("key")
+            .agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts"))
+            .where("parts > 1")
+            .select("key", "main")
+        )
+        return placed.join(split, "key")
+
+    # Documents under keys that are not all joined by now: pairs that share a rare shingle, those
+    # outside a shingle's largest part against all of it.
+    open_ = mixed(members).select(F.col("rep").alias("doc_id")).distinct()
+    open_sets = scratch.keep(sets.join(open_, "doc_id"), "open")
+    rare = mixed(_rare_shingles(open_sets)).join(shown, "rep")
+    # The least overlap of two similar sets, from their sizes, must fit into what is left of both.
+    needed = (F.col("x.n_shingles") + F.col("y.n_shingles")) * SIMILARITY_PERCENT
+    fits = F.least("x.left", "y.left") * (100 + SIMILARITY_PERCENT) >= needed
     crossing = (
-        outside.join(inside, F.col("x.key") == F.col("y.key"))
-        .where((F.col("x.part") != F.col("y.part")) & _near("x", "y"))
+        rare.where("part <> main")
+        .alias("x")
+        .join(rare.alias("y"), F.col("x.key") == F.col("y.key"))
+        .where((F.col("x.part") != F.col("y.part")) & fits & _near("x", "y"))
         .select(F.greatest("x.rep", "y.rep").alias("a"), F.least("x.rep", "y.rep").alias("b"))
         .distinct()
         .join(spokes, ["a", "b"], "left_anti")
