@@ -130,8 +130,25 @@ SELECT page_id, lower(coalesce(regexp_extract(pages.url, '://([^/?#]*)', 1), '')
 FROM pages LEFT JOIN judged USING (url) LEFT JOIN blocked ON blocked.alias_class = judged.alias_class
 """
 
+#: Base 32 of SHA-1: 40 hex digits are 32 groups of five bits.
+ZSTD_WARC = """
+WITH read AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+digests AS (SELECT *, sha1(payload) AS hex, octet_length(encode(payload)) AS payload_bytes FROM read),
+tops AS (SELECT hex, max(page_id) AS top FROM digests GROUP BY hex)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+    ('0b' || substr(array_to_string(list_transform(range(1, 41), lambda j:
+      substr('0000000100100011010001010110011110001001101010111100110111101111',
+        4 * (instr('0123456789abcdef', substr(hex, j, 1)) - 1) + 1, 4)), ''), 5 * i + 1, 5))::INTEGER, 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to, NULL::VARCHAR AS error
+FROM digests JOIN tops USING (hex)
+"""
+
 ORACLE = {
     "op1_url_filters": URL_FILTERS,
+    "op4_zstd_warc": ZSTD_WARC,
     "op8_quality_rules": QUALITY_RULES,
     "op10_near_dedup": NEAR_DEDUP,
 }

@@ -11,8 +11,9 @@ from crawlspark.llm import (
     segmentation,
     sharding,
     url_filters,
+    zstd_warc,
 )
-from crawlspark.workspace import Scratch
+from crawlspark.workspace import Scratch, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,17 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_zstd_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from Zstandard archives written from all pages."""
+    scratch = Scratch(spark)
+    records = zstd_warc.with_record_types(table(spark, sf_dir, "pages"), scratch)
+    files = zstd_warc.write_archives(records, shared_dir(spark, "archives"), scratch)
+    read = scratch.keep(zstd_warc.read_archives(files, with_payload=False).drop("payload", "target_uri"), "read")
+    return zstd_warc.resolved(read).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error"
+    )
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """A third of the documents, by id: no label of these is learned from. A null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -106,6 +118,7 @@ QUERIES = {
     for query in (
         op1_url_filters,
         op3_sharding,
+        op4_zstd_warc,
         op5_quality_classifier,
         op6_sentencepiece,
         op8_quality_rules,
