@@ -146,9 +146,24 @@ SELECT page_id, payload_bytes,
 FROM digests JOIN tops USING (hex)
 """
 
+#: The given pages mark their article, which has headings, paragraphs, bold text and line breaks only.
+HTML_EXTRACTION = r"""
+WITH articles AS (
+  SELECT page_id, url, regexp_split_to_array(replace(
+    regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' '), '</?(?:p|h1)>') AS blocks FROM pages),
+decoded AS (
+  SELECT page_id, url, list_transform(blocks, lambda b: trim(regexp_replace(replace(replace(replace(
+    regexp_replace(b, '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))) AS blocks
+  FROM articles),
+joined AS (
+  SELECT page_id, url, array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10) || chr(10)) AS text FROM decoded)
+SELECT page_id, url, text, length(text) AS n_chars FROM joined
+"""
+
 ORACLE = {
     "op1_url_filters": URL_FILTERS,
     "op4_zstd_warc": ZSTD_WARC,
+    "op7_html_extraction": HTML_EXTRACTION,
     "op8_quality_rules": QUALITY_RULES,
     "op10_near_dedup": NEAR_DEDUP,
 }

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from crawlspark.llm import (
     decontamination,
+    html_extraction,
     near_dedup,
     quality_classifier,
     quality_rules,
@@ -95,6 +96,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = SENTENCEPIE
     return segmentation.sampled_segmentations(table(spark, sf_dir, "documents"), vocabulary, with_ids=False)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_extraction.main_text(table(spark, sf_dir, "pages"), Scratch(spark))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measures and the verdict of every document, with cutoffs controlled by language."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -121,6 +128,7 @@ QUERIES = {
         op4_zstd_warc,
         op5_quality_classifier,
         op6_sentencepiece,
+        op7_html_extraction,
         op8_quality_rules,
         op9_decontamination,
         op10_near_dedup,
