@@ -160,8 +160,26 @@ joined AS (
 SELECT page_id, url, text, length(text) AS n_chars FROM joined
 """
 
+#: Bigrams that occur once back off to their last word.
+LM_SCORING = f"""
+WITH split AS (SELECT doc_id, {LOWER_WORDS} AS w FROM documents),
+tokens AS (
+  SELECT doc_id, i, w[i] AS word, CASE WHEN i > 1 THEN w[i - 1] END AS prior
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM split)),
+one AS (SELECT word, count(*) AS n FROM tokens GROUP BY word),
+two AS (SELECT prior, word, count(*) AS n FROM tokens WHERE prior IS NOT NULL GROUP BY ALL),
+scores AS (
+  SELECT tokens.doc_id, CASE WHEN two.n >= 2 THEN ln(two.n / context.n)
+    ELSE ln(one.n / (SELECT count(*) FROM tokens)) + CASE WHEN tokens.prior IS NULL THEN 0 ELSE ln(0.4) END END AS s
+  FROM tokens JOIN one ON one.word = tokens.word LEFT JOIN one AS context ON context.word = tokens.prior
+    LEFT JOIN two ON two.prior = tokens.prior AND two.word = tokens.word),
+sums AS (SELECT doc_id, sum(s) AS s FROM scores GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_tokens, round(coalesce(s, 0), 3) AS log_score FROM split LEFT JOIN sums USING (doc_id)
+"""
+
 ORACLE = {
     "op1_url_filters": URL_FILTERS,
+    "op2_lm_scoring": LM_SCORING,
     "op4_zstd_warc": ZSTD_WARC,
     "op7_html_extraction": HTML_EXTRACTION,
     "op8_quality_rules": QUALITY_RULES,

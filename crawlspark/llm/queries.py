@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from crawlspark.llm import (
     decontamination,
     html_extraction,
+    lm_scoring,
     near_dedup,
     quality_classifier,
     quality_rules,
@@ -42,6 +43,14 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judged(pages, links, rules, scratch)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bigram stupid-backoff score of every document under the counts of all documents."""
+    # As many partitions of the count table as the session shuffles to.
+    buckets = 1 << max(0, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    found = lm_scoring.scored(table(spark, sf_dir, "documents"), buckets)
+    return found.withColumn("log_score", F.round("log_score", 3))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in a uniform shuffle into eight shards whose counts are at most one apart."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -124,6 +133,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_url_filters,
+        op2_lm_scoring,
         op3_sharding,
         op4_zstd_warc,
         op5_quality_classifier,
