@@ -403,7 +403,7 @@ def sampled_segmentations(
     """Up to ``samples`` distinct segmentations of each text, one row each.
 
     ``docs`` has doc_id and text; other columns are ignored. Columns: doc_id, sample (from 1, best
-    first), ids, n_pieces, log_prob, perturbed, inclusion (the probability that the segmentation is among
+    first), ids, n_pieces, log_prob, perturbed, log_inclusion (of the probability that the segmentation is among
     the samples, given the perturbed value of the next one) and round_trip (whether the ids
     decode to the text). A text with fewer segmentations has fewer rows; an empty or null one has the empty
     segmentation. Draws depend on the seed, doc_id and text alone, so
@@ -423,7 +423,9 @@ def sampled_segmentations(
                 sizes = [len(s.ids) for _, _, s, _ in flat]
                 listed = np.concatenate([s.ids for _, _, s, _ in flat]) if with_ids else np.zeros(0, np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]) if with_ids else np.zeros(len(flat) + 1)
-                gap = np.array([s.log_prob - after for _, _, s, after in flat])
+                gap = np.minimum([s.log_prob - after for _, _, s, after in flat], 700.0)
+                # log(1 - exp(-exp(gap))), which is the gap itself where that is far below 0.
+                included = np.where(gap < -30, gap, np.log(-np.expm1(-np.exp(np.maximum(gap, -30)))))
                 same = [
                     sent.value.decode(s.ids) == whole[part.offsets[d] : part.offsets[d + 1]] for d, _, s, _ in flat
                 ]
@@ -435,15 +437,15 @@ def sampled_segmentations(
                         pa.array(sizes, pa.int32()),
                         pa.array([s.log_prob for _, _, s, _ in flat], pa.float64()),
                         pa.array([s.perturbed for _, _, s, _ in flat], pa.float64()),
-                        pa.array(-np.expm1(-np.exp(np.minimum(gap, 700.0))), pa.float64()),
+                        pa.array(included, pa.float64()),
                         pa.array(same, pa.bool_()),
                     ],
-                    names=["doc_id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "inclusion", "round_trip"],
+                    names=["doc_id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip"],
                 )
 
     schema = (
         "doc_id long, sample int, ids array<int>, n_pieces int, log_prob double, perturbed double, "
-        "inclusion double, round_trip boolean"
+        "log_inclusion double, round_trip boolean"
     )
     found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, schema)
     return found if with_ids else found.drop("ids")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 import uuid
 from collections.abc import Iterator
@@ -99,28 +100,26 @@ def _trained(samples: list[bytes]) -> zstandard.ZstdCompressionDict | None:
         return None
 
 
-def _file(root: str, records: Iterator[bytes], first: bytes, max_bytes: int) -> tuple[str, int, int, bytes | None]:
-    """Write one archive that begins with ``first``; returns name, records, bytes and the first record of the next."""
-    held, size = [first], len(first)
+def _file(root: str, records: Iterator[bytes], max_bytes: int) -> tuple[str, int, int, Iterator[bytes]]:
+    """Write one archive; returns its name, its number of records and bytes, and the records for the next one."""
+    held, size = [], 0
     while size < TRAINING_BYTES and (record := next(records, None)) is not None:
         held.append(record)
         size += len(record)
     trained = _trained(held)
     squeeze = zstandard.ZstdCompressor(level=3, dict_data=trained, write_content_size=True).compress
-    name, store = f"{uuid.uuid4().hex}.warc.zst", fs.FileSystem.from_uri(root)
-    count = written = 0
-    following = None
-    with store[0].open_output_stream(f"{store[1]}/{name}", compression=None) as out:
+    name, (store, folder) = f"{uuid.uuid4().hex}.warc.zst", fs.FileSystem.from_uri(root)
+    stream, count, written = _chain(held, records), 0, 0
+    with store.open_output_stream(f"{folder}/{name}", compression=None) as out:
         if trained is not None:
             content = trained.as_bytes()
             written += out.write(struct.pack("<II", DICTIONARY_MAGIC, len(content)) + content)
-        for record in _chain(held, records):
-            if written >= max_bytes:
-                following = record
-                break
+        for record in stream:
             written += out.write(squeeze(record))
             count += 1
-    return name, count, written, following
+            if written >= max_bytes:
+                break
+    return name, count, written, stream
 
 
 def _chain(held: list[bytes], rest: Iterator[bytes]) -> Iterator[bytes]:
@@ -147,9 +146,8 @@ def write_archives(
                     yield record_bytes(page_id, url, payload, kind, refers_to, date)
 
         stream = encoded()
-        first = next(stream, None)
-        while first is not None:
-            name, count, size, first = _file(root, stream, first, max_bytes)
+        while (first := next(stream, None)) is not None:
+            name, count, size, stream = _file(root, itertools.chain([first], stream), max_bytes)
             yield pa.RecordBatch.from_pylist([{"path": f"{root}/{name}", "records": count, "bytes": size}])
 
     store, path = fs.FileSystem.from_uri(root)
