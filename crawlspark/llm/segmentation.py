@@ -34,8 +34,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPREAD = np.uint64(0xD1342543DE82EF95)
 _FILTER_BITS = 20
-#: Texts that share one table of lattices: the more, the fewer chunks are built twice.
-SLICE_BYTES = 8 << 20
+#: Texts that share one table of lattices. A worker needs some 200 MB for one MB of them.
+SLICE_BYTES = 1 << 20
 
 
 def _powers(base: np.uint64, size: int) -> np.ndarray:
