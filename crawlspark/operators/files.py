@@ -9,6 +9,7 @@ from crawlspark.operators.running import running_total
 from crawlspark.settings import ArchiveSettings
 
 LANE = ["file_group", "lane"]
+DEFAULT_FILE_SIZE = 1 << 30
 
 
 def with_concurrent_to(records: DataFrame) -> DataFrame:
@@ -17,26 +18,25 @@ def with_concurrent_to(records: DataFrame) -> DataFrame:
     The session's first record is its hub: every other record names the hub
     and the hub names every other record. Two records, the usual request and
     response, thus name each other; n records make 2(n-1) references instead
-    of n(n-1). The window is the one that routes the session.
+    of n(n-1). The list of members is made once per session and reaches the hub
+    only; both are in the partitioning that routes the session.
     """
-    session = Window.partitionBy("request_id")
-    member = F.struct("record_num", "warc_id")
-    hub = F.min(member).over(session)["warc_id"]
-    members = F.collect_list(member).over(session)
+    sessions = records.groupBy("request_id").agg(
+        F.min(F.struct("record_num", "warc_id"))["warc_id"].alias("hub"),
+        F.array_sort(F.collect_list(F.struct("record_num", "warc_id"))).alias("members"),
+    )
+    others = F.slice("members", 2, F.greatest(F.size("members"), F.lit(1)))
+    hubs = sessions.select("request_id", "hub", F.transform(others, lambda m: m["warc_id"]).alias("others"))
+    hub = Window.partitionBy("request_id")
+    named = records.withColumn("hub", F.min(F.struct("record_num", "warc_id")).over(hub)["warc_id"])
     none = F.array().cast("array<string>")
-    is_hub = F.col("warc_id") == F.col("hub")
-    siblings = F.when(
-        is_hub,
-        F.array_except(F.transform(F.array_sort("members"), lambda m: m["warc_id"]), F.array("warc_id")),
-    ).otherwise(F.array("hub"))
-    return (
-        records.withColumn("hub", hub)
-        .withColumn("members", members)
-        .withColumn(
-            "concurrent_to", F.array_union(F.coalesce("declared_concurrent_to", none), siblings)
-        )
-        .drop("hub", "members", "declared_concurrent_to")
+    joined = named.join(
+        hubs.select("request_id", F.col("hub").alias("warc_id"), "others"), ["request_id", "warc_id"], "left"
     )
+    siblings = F.coalesce("others", F.array("hub"))
+    return joined.withColumn(
+        "concurrent_to", F.array_union(F.coalesce("declared_concurrent_to", none), siblings)
+    ).drop("hub", "others", "declared_concurrent_to")
 
 
 def head(settings: ArchiveSettings) -> Column:
@@ -70,11 +70,13 @@ def with_volume(records: DataFrame, size: str) -> DataFrame:
 
     Records of a (file group, lane) follow each other in order of request and
     record. A new file starts where the running size passes a multiple of
-    ``file_size`` (0 = no limit), so a file exceeds the limit by less than one
-    record.
+    ``file_size``, so a file exceeds the limit by less than one record. A
+    collection that sets no size has files of ``DEFAULT_FILE_SIZE``, so that no
+    task has to write an endless one.
     """
     placed = running_total(records, LANE, "request_id", size, "start", ties=("record_num",))
-    volume = F.when(F.col("file_size") > 0, F.expr("start div file_size")).otherwise(F.lit(0))
+    limit = F.when(F.col("file_size") > 0, F.col("file_size")).otherwise(F.lit(DEFAULT_FILE_SIZE))
+    volume = F.floor(F.col("start") / limit)
     return placed.withColumn("volume", volume.cast("long"))
 
 
@@ -100,17 +102,29 @@ def number_files(placed: DataFrame) -> DataFrame:
     )
 
 
-def with_file_name(records: DataFrame, settings: ArchiveSettings) -> DataFrame:
-    """Adds ``file_name``; lanes take turns in the numbering, so names differ."""
+def with_file_name(records: DataFrame, settings: ArchiveSettings, used: DataFrame | None = None) -> DataFrame:
+    """Adds ``file_number`` and ``file_name``; lanes take turns in the numbering, so names differ.
+
+    Numbers start behind the ones ``used`` (collection_final_name, used) so far.
+    """
     number = (F.col("serial") - 1) * settings.pool_size + F.col("lane") + 1
-    return records.withColumn(
+    if used is not None:
+        records = records.join(used, "collection_final_name", "left")
+        number = number + F.coalesce("used", F.lit(0))
+    numbered = records.withColumn("file_number", number).drop("used")
+    return numbered.withColumn(
         "file_name",
         file_name(
-            F.col("collection_final_name"), F.col("opened"), number, settings.host, F.col("compress")
+            F.col("collection_final_name"), F.col("opened"), F.col("file_number"), settings.host, F.col("compress")
         ),
     )
 
 
+def last_numbers(placed: DataFrame) -> DataFrame:
+    """The highest file number of each collection final name."""
+    return placed.groupBy("collection_final_name").agg(F.max("file_number").cast("long").alias("number"))
+
+
 def file_info(placed: DataFrame, settings: ArchiveSettings) -> DataFrame:
     """One row per file with the body of its leading info record."""
     files = placed.select(

@@ -179,6 +179,12 @@ def first_errors(errors: DataFrame) -> DataFrame:
     )
 
 
+def config_error(collection_id: Column, sufficient: Column) -> Column:
+    """The error of a session whose collection config is missing or insufficient."""
+    name = F.coalesce(collection_id, F.lit(""))
+    return F.when(sufficient.isNull(), F.concat(F.lit(NO_CONFIG), name)).otherwise(F.format_string(POOR_CONFIG, name))
+
+
 def validate_sessions(
     outcomes: DataFrame,
     metas: DataFrame,
@@ -208,14 +214,14 @@ def validate_sessions(
             "record_error",
         )
     )
-    name = F.coalesce("collection_id", F.lit(""))
     error = (
         F.when(~F.col("has_meta"), NO_META)
         .when(~F.col("has_ref"), NO_COLLECTION)
         .when(is_missing(F.col("ip_address")), NO_ADDRESS)
         .when(is_missing(F.col("target_uri")), NO_TARGET)
-        .when(F.col("sufficient").isNull(), F.concat(F.lit(NO_CONFIG), name))
-        .when(~F.col("sufficient"), F.format_string(POOR_CONFIG, name))
+        .when(
+            ~F.coalesce("sufficient", F.lit(False)), config_error(F.col("collection_id"), F.col("sufficient"))
+        )
         .when(F.col("record_error").isNotNull(), F.col("record_error"))
         .when(~F.col("is_dense"), NOT_DENSE)
     )

@@ -177,7 +177,7 @@ TABLES = {
     "named": f"""SELECT *, {INFO_BODY} AS body FROM (SELECT *, cfn||'-'||strftime(opened,'%Y%m%d%H%M%S')||'-'
         ||printf('%04d', (serial - 1) * 2 + lane + 1)||'-host0.warc'||CASE WHEN compress THEN '.gz' ELSE '' END AS file_name
         FROM offsets)""",
-    "placed": f"""SELECT *, 'warcfile:'||file_name||':'||("offset" + {octets('info')}) AS storage_ref
+    "placed": f"""SELECT *, CASE WHEN NOT compress THEN 'warcfile:'||file_name||':'||("offset" + {octets('info')}) END AS storage_ref
         FROM (SELECT *, {INFO_RECORD} AS info FROM named)""",
     "recrawl": f"""SELECT * REPLACE (request_id + {RECRAWL_SHIFT} AS request_id, fetch_ts + INTERVAL 1 DAY AS fetch_ts)
         FROM records""",
@@ -429,6 +429,9 @@ ORACLE: dict[str, str] = {
     "json_decode_strict": """SELECT event_id AS doc_id,
         ['OK','UNKNOWN_FIELD','MALFORMED','MALFORMED'][event_id % 4 + 1] AS status,
         CASE WHEN event_id % 4 = 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events""",
+    "json_decode_nested": """SELECT event_id AS doc_id,
+        ['OK','UNKNOWN_FIELD','UNKNOWN_FIELD','UNKNOWN_FIELD'][event_id % 4 + 1] AS status,
+        CASE WHEN event_id % 4 = 0 THEN CAST(json_extract(props, '$.k') AS INTEGER) END AS k FROM events""",
     "json_encode": over(
         "keyed",
         """SELECT request_id, record_num, '{"date":"'||strftime(fetch_ts,'%Y-%m-%dT%H:%M:%S.%fZ')||'"'
@@ -568,6 +571,8 @@ ORACLE: dict[str, str] = {
     ),
     "bucket_histogram": _histogram(),
     "stream_sessions": ASSEMBLED_CONVERSATIONS,
+    "stream_archive": f"""SELECT request_id, record_num, record_type, warc_id, block_digest, payload_digest,
+        collection_final_name FROM ({_message_index()})""",
     "stream_revisit": DECISIONS,
     "stream_config_refresh": JOINED_CONFIG,
 }

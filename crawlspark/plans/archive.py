@@ -10,7 +10,7 @@ from crawlspark.operators import assembly, files, revisit, sessions
 from crawlspark.settings import ArchiveSettings
 from crawlspark.sources import crawled_index, warc_sink
 from crawlspark.sources.config import join_config
-from crawlspark.workspace import Scratch
+from crawlspark.workspace import Scratch, delete_dir, dir_exists
 
 
 def keyed_records(
@@ -19,9 +19,21 @@ def keyed_records(
     """Records measured, routed and keyed.
 
     The kept table is narrow: header and payload are read once, here, and
-    once more by the writer.
+    once more by the writer. Records of a collection without a sufficient
+    config are left out; ``rejected_sessions`` names them.
     """
-    return key_records(join_config(revisit.measure_records(records), config), settings, scratch)
+    known = join_config(revisit.measure_records(records), config).where("sufficient")
+    return key_records(known, settings, scratch)
+
+
+def rejected_sessions(records: DataFrame, config: DataFrame) -> DataFrame:
+    """(request_id, error) of sessions whose collection has no sufficient config."""
+    found = records.select("request_id", "collection_id").distinct()
+    return (
+        join_config(found, config)
+        .where(~F.coalesce("sufficient", F.lit(False)))
+        .select("request_id", sessions.config_error(F.col("collection_id"), F.col("sufficient")).alias("error"))
+    )
 
 
 def key_records(measured: DataFrame, settings: ArchiveSettings, scratch: Scratch) -> DataFrame:
@@ -42,13 +54,16 @@ def decided_records(
     return scratch.keep(files.with_stored_size(rewritten, settings), "decided")
 
 
-def placed_records(decided: DataFrame, settings: ArchiveSettings, scratch: Scratch) -> DataFrame:
+def placed_records(
+    decided: DataFrame, settings: ArchiveSettings, scratch: Scratch, used: DataFrame | None = None
+) -> DataFrame:
     """Decided records with file name and offset in the file.
 
-    Only narrow columns take part; the blocks join them in the writer.
+    Only narrow columns take part; the blocks join them in the writer. File
+    numbers go on from those ``used`` by earlier batches.
     """
     offsets = file_offsets(decided, "stored_size", settings, scratch)
-    return files.behind_info_record(files.with_file_name(offsets, settings), settings)
+    return files.behind_info_record(files.with_file_name(offsets, settings, used), settings)
 
 
 def file_offsets(
@@ -60,18 +75,20 @@ def file_offsets(
     return files.number_files(volumes)
 
 
-def write_index(placed: DataFrame) -> DataFrame:
+def write_index(placed: DataFrame, stored: bool = False) -> DataFrame:
     """The reply: one row per record.
 
-    Offsets are positions in the uncompressed file. ``write_archive`` returns
-    the stored ones, which differ for compressed collections.
+    Planned offsets are positions in the uncompressed file, so records of
+    compressed collections have no reference before they are written:
+    ``write_archive`` gives the stored positions with ``stored`` set.
     """
+    known = F.lit(True) if stored else ~F.col("compress")
     return placed.select(
         "request_id",
         "record_num",
         "record_type",
         "warc_id",
-        storage_ref(F.col("file_name"), F.col("offset")).alias("storage_ref"),
+        F.when(known, storage_ref(F.col("file_name"), F.col("offset"))).alias("storage_ref"),
         "block_digest",
         "payload_digest",
         F.coalesce("refers_to", F.lit("")).alias("revisit_ref"),
@@ -118,7 +135,7 @@ def read_sessions(
     The message bytes are read once, by the assembly; all checks work on its
     narrow result.
     """
-    records = scratch.keep(assembly.assemble_records(messages, settings.max_block_bytes), "assembled")
+    records = scratch.keep(assembly.assemble_records(messages), "assembled")
     metas = scratch.keep(sessions.last_meta(messages), "metas")
     described = sessions.join_record_meta(records, metas)
     repeats = records.where("twice_seq IS NOT NULL").select("request_id", F.col("twice_seq").alias("seq"))
@@ -137,7 +154,7 @@ def write_archive(
     warc_sink.write_files(placed, chunks, path, settings)
     stored = warc_sink.read_positions(placed.sparkSession, path)
     return write_index(
-        placed.drop("file_name", "offset").join(stored, ["request_id", "record_num"])
+        placed.drop("file_name", "offset").join(stored, ["request_id", "record_num"]), stored=True
     )
 
 
@@ -158,7 +175,21 @@ def archive_batch(
     scratch = Scratch(spark, f"{path}/plan/batch={batch}")
     known = crawled_index.read_index(spark, f"{path}/crawled", before_batch=batch)
     decided = decided_records(keyed, settings, scratch, crawled_index.relevant(known, keyed))
-    placed = scratch.keep(placed_records(decided, settings, scratch), "placed")
+    used = read_numbers(spark, path, batch)
+    placed = scratch.keep(placed_records(decided, settings, scratch, used), "placed")
+    files.last_numbers(placed).write.mode("overwrite").parquet(f"{path}/numbers/batch={batch}")
+    # Files of an earlier try of this batch may have other names.
+    delete_dir(spark, f"{path}/warc/batch={batch}")
     index = write_archive(placed, chunks, f"{path}/warc/batch={batch}", settings)
     index.write.mode("overwrite").parquet(f"{path}/index/batch={batch}")
     crawled_index.append_batch(revisit.index_rows(decided), f"{path}/crawled", batch)
+    delete_dir(spark, scratch.path)
+
+
+def read_numbers(spark: SparkSession, path: str, before_batch: int) -> DataFrame | None:
+    """The highest file number of each collection final name in earlier batches."""
+    if not dir_exists(spark, f"{path}/numbers"):
+        return None
+    rows = spark.read.schema("collection_final_name string, number long, batch long").parquet(f"{path}/numbers")
+    earlier = rows.where(F.col("batch") < before_batch)
+    return earlier.groupBy("collection_final_name").agg(F.max("number").alias("used"))

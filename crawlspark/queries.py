@@ -15,6 +15,7 @@ from crawlspark.settings import ArchiveSettings
 from crawlspark.sources import crawled_index, documents, warc_sink
 from crawlspark.sources.config import join_config
 from crawlspark.sources.messages import stream_messages
+from crawlspark.streaming import archive as stream_archives
 from crawlspark.streaming import config as stream_config
 from crawlspark.streaming import revisit as stream_revisits
 from crawlspark.streaming import sessions as stream_session
@@ -119,6 +120,23 @@ def q_json_decode_strict(spark, sf_dir):
     )
 
 
+@query
+def q_json_decode_nested(spark, sf_dir):
+    """Fields that the schema lacks, inside a struct, an array and a map."""
+    inner = T.StructType([T.StructField("k", T.IntegerType())])
+    fields = [("a", inner), ("l", T.ArrayType(inner)), ("m", T.MapType(T.StringType(), inner))]
+    schema = T.StructType([T.StructField(name, kind) for name, kind in fields])
+    more = F.regexp_replace("props", r"\}$", ', "x": 2}')
+    part = [F.when(F.col("event_id") % 4 == case, more).otherwise(F.col("props")) for case in (1, 2, 3)]
+    doc = F.format_string('{"a": %s, "l": [%s], "m": {"any": %s}}', *part)
+    docs = inputs.table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), doc.alias("doc"))
+    return docs.select(
+        "doc_id",
+        documents.decode_status(F.col("doc"), schema).alias("status"),
+        documents.decode_strict(F.col("doc"), schema)["a"]["k"].alias("k"),
+    )
+
+
 @query
 def q_json_encode(spark, sf_dir):
     keyed = keyed_events(spark, sf_dir, Scratch(spark))
@@ -174,7 +192,7 @@ def q_assemble_records(spark, sf_dir):
 
 def _assembled(messages: DataFrame) -> DataFrame:
     # Kept whole, so that both ways of measuring share one shuffle of the bytes.
-    records = assembly.assemble_records(messages, SETTINGS.max_block_bytes)
+    records = assembly.assemble_records(messages)
     kept = Scratch(messages.sparkSession).keep(records, "assembled")
     return kept.select(*RECORD, "n_chunks", "size", F.col("block_digest").alias("digest"))
 
@@ -500,7 +518,7 @@ def q_file_offsets(spark, sf_dir):
 @query
 def q_storage_ref(spark, sf_dir):
     placed = placed_events(spark, sf_dir, Scratch(spark))
-    return placed.select(*RECORD, ids.storage_ref(F.col("file_name"), F.col("offset")).alias("storage_ref"))
+    return archive.write_index(placed).select(*RECORD, "storage_ref")
 
 
 @query
@@ -604,6 +622,24 @@ def q_stream_sessions(spark, sf_dir):
     return _assembled(stream_session.read_sessions(spark, path))
 
 
+@query
+def q_stream_archive(spark, sf_dir):
+    """Messages in, index rows out, batch by batch; sessions end by any of their end messages."""
+    messages = inputs.event_messages(spark, sf_dir)
+    ends = messages.groupBy("request_id").agg((F.max("seq") + 1).alias("seq")).withColumn("kind", F.lit("eof"))
+    config = stream_config.FreshConfig(lambda: inputs.collection_config(spark, sf_dir), ttl=300)
+    source, path = shared_dir(spark, "messages"), shared_dir(spark, "archive")
+
+    def start():
+        stream = stream_messages(spark, source)
+        return stream_archives.start(stream, config, path, SETTINGS, availableNow=True)
+
+    _feed(_by_request(messages.unionByName(ends, allowMissingColumns=True)), source, start)
+    return spark.read.parquet(f"{path}/index").select(
+        *RECORD, "record_type", "warc_id", "block_digest", "payload_digest", "collection_final_name"
+    )
+
+
 @query
 def q_stream_revisit(spark, sf_dir):
     records = inputs.event_records(spark, sf_dir)

@@ -24,7 +24,6 @@ class ArchiveSettings:
     strict: bool = False
     time_zone: str = "UTC"
     salts: int = 256
-    max_block_bytes: int = 256 * 1024 * 1024
 
     def __post_init__(self):
         if self.warc_version not in REVISIT_PROFILES:

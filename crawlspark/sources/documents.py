@@ -10,19 +10,39 @@ def decode_lenient(doc: Column, schema: T.StructType) -> Column:
     return F.from_json(doc, schema, {"mode": "PERMISSIVE"})
 
 
+def _unknown(value: Column, schema: T.DataType) -> Column:
+    """Whether JSON text holds a field, at any depth, that ``schema`` does not name."""
+    no = F.lit(False)
+    if isinstance(schema, T.StructType):
+        keys = F.array_except(F.json_object_keys(value), F.array(*[F.lit(name) for name in schema.names]))
+        found = F.coalesce(F.size(keys) > 0, no)
+        parts = F.from_json(value, T.MapType(T.StringType(), T.StringType()))
+        for field in schema.fields:
+            if isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
+                found = found | _unknown(parts[field.name], field.dataType)
+        return found
+    if isinstance(schema, T.ArrayType):
+        items = F.from_json(value, T.ArrayType(T.StringType()))
+        return F.coalesce(F.exists(items, lambda item: _unknown(item, schema.elementType)), no)
+    if isinstance(schema, T.MapType):
+        items = F.map_values(F.from_json(value, T.MapType(T.StringType(), T.StringType())))
+        return F.coalesce(F.exists(items, lambda item: _unknown(item, schema.valueType)), no)
+    return no
+
+
 def decode_status(doc: Column, schema: T.StructType) -> Column:
     """``OK``, ``UNKNOWN_FIELD`` or ``MALFORMED`` for the strict reading of a document.
 
     A document that does not parse, or holds a value of the wrong type, is
     malformed. ``from_json`` accepts unknown fields in silence, so the keys
-    are compared with the schema.
+    are compared with the schema, in every struct at every depth.
     """
     corrupt = T.StructType(schema.fields + [T.StructField("_corrupt", T.StringType())])
     parsed = F.from_json(doc, corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    unknown = F.array_except(F.json_object_keys(doc), F.array(*[F.lit(name) for name in schema.names]))
+    broken = parsed.isNull() | parsed["_corrupt"].isNotNull() | F.json_object_keys(doc).isNull()
     return (
-        F.when(parsed.isNull() | parsed["_corrupt"].isNotNull() | unknown.isNull(), F.lit("MALFORMED"))
-        .when(F.size(unknown) > 0, F.lit("UNKNOWN_FIELD"))
+        F.when(broken, F.lit("MALFORMED"))
+        .when(_unknown(doc, schema), F.lit("UNKNOWN_FIELD"))
         .otherwise(F.lit("OK"))
     )
 

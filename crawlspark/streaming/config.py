@@ -7,12 +7,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from crawlspark.sources.config import join_config
+from crawlspark.workspace import Scratch, delete_dir
 
 
 class FreshConfig:
     """Config read again once it is older than ``ttl`` seconds; 0 reads always.
 
-    It is asked once per micro-batch; only the plan of the read is held here.
+    It is asked once per micro-batch. What was read is written down in the
+    shared folder, so it holds for its time even if the config files are
+    replaced meanwhile; what is older than the last one is deleted.
     """
 
     def __init__(
@@ -20,11 +23,17 @@ class FreshConfig:
     ):
         self.read, self.ttl, self.clock = read, ttl, clock
         self.frame: DataFrame | None = None
+        self.kept: list[Scratch] = []
         self.expires = 0.0
 
     def __call__(self) -> DataFrame:
         if self.frame is None or self.ttl == 0 or self.clock() >= self.expires:
-            self.frame = self.read()
+            found = self.read()
+            self.kept.append(Scratch(found.sparkSession))
+            self.frame = self.kept[-1].keep(found, "config")
+            for old in self.kept[:-2]:
+                delete_dir(old.spark, old.path)
+            self.kept = self.kept[-2:]
             self.expires = self.clock() + self.ttl
         return self.frame
 

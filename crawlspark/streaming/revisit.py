@@ -9,7 +9,7 @@ from crawlspark.operators import revisit
 from crawlspark.plans import archive
 from crawlspark.settings import ArchiveSettings
 from crawlspark.sources import crawled_index
-from crawlspark.workspace import Scratch
+from crawlspark.workspace import Scratch, delete_dir
 
 
 def decide_batch(
@@ -34,7 +34,7 @@ def start(
     settings: ArchiveSettings,
     **trigger,
 ) -> StreamingQuery:
-    """Stream of records -> decided records under ``path/decided``.
+    """Stream of records -> decided records under ``path/decided``, rejected sessions under ``path/rejected``.
 
     A session must not be split over micro-batches; ``streaming.sessions``
     emits whole ones. Late records join the bucket of their own clock, so no
@@ -42,10 +42,13 @@ def start(
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        scratch = Scratch(batch.sparkSession, f"{path}/scratch/batch={batch_id}")
-        keyed = archive.keyed_records(batch, config(), settings, scratch)
+        scratch, known = Scratch(batch.sparkSession, f"{path}/scratch/batch={batch_id}"), config()
+        rejected = archive.rejected_sessions(batch, known)
+        rejected.write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id}")
+        keyed = archive.keyed_records(batch, known, settings, scratch)
         decided = decide_batch(keyed, path, batch_id, settings, scratch)
         decided.write.mode("overwrite").parquet(f"{path}/decided/batch={batch_id}")
+        delete_dir(batch.sparkSession, scratch.path)
 
     return (
         records.writeStream.foreachBatch(handle)

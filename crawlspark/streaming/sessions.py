@@ -1,74 +1,96 @@
-"""Write sessions on a stream: closed by their end message, not by a gap.
+"""Write sessions on a stream: closed by the message that ends them, not by a gap.
 
-The messages of open sessions are kept as one table per micro-batch, so the
-bytes stay in the JVM and a session of any size is only ever rows.
+Message bytes are appended once per micro-batch and stay there. The state that
+goes from batch to batch is narrow: for each record of an open session what is
+needed to tell a repeated header, and in which batches its messages are.
 """
 
-import time
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from crawlspark.operators.sessions import DATA_KINDS, KNOWN_KINDS
 from crawlspark.schemas import MESSAGE
 from crawlspark.workspace import delete_dir, dir_exists
 
 TERMINAL_KINDS = ("eof", "cancel")
-ABANDONED_AFTER_SECONDS = 24 * 3600
-
-_OPEN = T.StructType([*MESSAGE.fields, T.StructField("arrived", T.LongType())])
-
-
-def split_ended(messages: DataFrame, arrivals: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(messages of sessions that ended in ``arrivals``, messages of the others)."""
-    ended = arrivals.where(F.col("kind").isin(*TERMINAL_KINDS)).select("request_id").distinct()
-    return (
-        messages.join(ended, "request_id", "left_semi"),
-        messages.join(ended, "request_id", "left_anti"),
+ENDED, ABANDONED = "ENDED", "ABANDONED"
+
+_STATE = "request_id long, record_num int, first_byte long, last_header long, closed boolean, first_batch long, last_batch long"
+_ENDED = "request_id long, status string, first_batch long, batch long"
+_LOGGED = T.StructType([*MESSAGE.fields, T.StructField("batch", T.LongType())])
+
+
+def summary(messages: DataFrame, batch_id: int) -> DataFrame:
+    """What the messages of one batch add to the state."""
+    kind, seq = F.col("kind"), F.col("seq")
+    ends = kind.isin(*TERMINAL_KINDS) | ~F.coalesce(kind.isin(*KNOWN_KINDS), F.lit(False))
+    has_bytes = kind.isin(*DATA_KINDS) & (F.octet_length("data") > 0)
+    return messages.groupBy("request_id", "record_num").agg(
+        F.min(F.when(has_bytes, seq)).alias("first_byte"),
+        F.max(F.when(kind == "header", seq)).alias("last_header"),
+        F.bool_or(F.coalesce(ends, F.lit(True))).alias("closed"),
+        F.lit(batch_id).cast("long").alias("first_batch"),
+        F.lit(batch_id).cast("long").alias("last_batch"),
     )
 
 
-def drop_abandoned(messages: DataFrame, oldest: int) -> DataFrame:
-    """Open sessions that have received something since ``oldest``."""
-    alive = messages.groupBy("request_id").agg(F.max("arrived").alias("last")).where(F.col("last") >= oldest)
-    return messages.join(alive, "request_id", "left_semi")
+def merged(states: DataFrame) -> DataFrame:
+    return states.groupBy("request_id", "record_num").agg(
+        F.min("first_byte").alias("first_byte"),
+        F.max("last_header").alias("last_header"),
+        F.bool_or("closed").alias("closed"),
+        F.min("first_batch").alias("first_batch"),
+        F.max("last_batch").alias("last_batch"),
+    )
 
 
-def close_batch(batch: DataFrame, path: str, batch_id: int, now: int, abandoned_after: int) -> None:
-    """Release whole sessions of one micro-batch; repeatable by batch id.
+def close_batch(batch: DataFrame, path: str, batch_id: int, abandoned_after: int | None = None) -> None:
+    """End sessions with the messages of one micro-batch; repeatable by batch id.
 
-    Reads what the batch before left open and writes ``sessions`` and ``open``
-    of its own id. The state before that is no longer needed by any retry.
+    Reads what the batch before left open and writes ``messages``, ``ended``
+    and ``open`` of its own id. A session ends with ``eof``, ``cancel``, an
+    unknown message or a repeated header; what arrives after its end does not
+    count. ``abandoned_after`` ends sessions without a message in so many
+    batches as ABANDONED: they get a row, and none of their messages is
+    released. It is off by default.
     """
     spark = batch.sparkSession
+    log = f"{path}/messages/batch={batch_id}"
+    batch.select(*MESSAGE.names).write.mode("overwrite").parquet(log)
+    states = summary(spark.read.schema(MESSAGE).parquet(log), batch_id)
     before = f"{path}/open/batch={batch_id - 1}"
-    messages = batch.select(*MESSAGE.names).withColumn("arrived", F.lit(now))
     if dir_exists(spark, before):
-        messages = spark.read.schema(_OPEN).parquet(before).unionByName(messages)
-    complete, open_ones = split_ended(messages, batch)
-    complete.drop("arrived").write.mode("overwrite").parquet(f"{path}/sessions/batch={batch_id}")
-    alive = drop_abandoned(open_ones, now - abandoned_after)
-    alive.write.mode("overwrite").parquet(f"{path}/open/batch={batch_id}")
+        states = states.unionByName(spark.read.schema(_STATE).parquet(before))
+    done = read_ended(spark, path).where(F.col("batch") < batch_id).select("request_id")
+    now = f"{path}/states/batch={batch_id}"
+    merged(states).join(done, "request_id", "left_anti").write.mode("overwrite").parquet(now)
+    state = spark.read.schema(_STATE).parquet(now)
+
+    ends = F.col("closed") | F.coalesce(F.col("last_header") > F.col("first_byte"), F.lit(False))
+    sessions = state.groupBy("request_id").agg(
+        F.bool_or(ends).alias("ends"),
+        F.min("first_batch").alias("first_batch"),
+        F.max("last_batch").alias("last_batch"),
+    )
+    status = F.when(F.col("ends"), ENDED)
+    if abandoned_after is not None:
+        status = status.when(F.col("last_batch") <= batch_id - abandoned_after, ABANDONED)
+    ended = sessions.select("request_id", status.alias("status"), "first_batch").where("status IS NOT NULL")
+    ended.write.mode("overwrite").parquet(f"{path}/ended/batch={batch_id}")
+    gone = spark.read.schema(_ENDED).parquet(f"{path}/ended/batch={batch_id}").select("request_id")
+    still_open = state.join(gone, "request_id", "left_anti")
+    still_open.write.mode("overwrite").parquet(f"{path}/open/batch={batch_id}")
+    delete_dir(spark, now)
     delete_dir(spark, f"{path}/open/batch={batch_id - 2}")
 
 
-def start(
-    messages: DataFrame,
-    path: str,
-    abandoned_after: int = ABANDONED_AFTER_SECONDS,
-    clock: Callable[[], float] = time.time,
-    **trigger,
-) -> StreamingQuery:
-    """Stream of messages -> messages of complete sessions under ``path/sessions``.
-
-    A session ends with its ``eof`` or ``cancel`` message and is released as a
-    whole. One that receives nothing for ``abandoned_after`` seconds is dropped.
-    """
+def start(messages: DataFrame, path: str, abandoned_after: int | None = None, **trigger) -> StreamingQuery:
+    """Stream of messages -> ended sessions, see ``read_sessions`` and ``read_ended``."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        close_batch(batch, path, batch_id, int(clock()), abandoned_after)
+        close_batch(batch, path, batch_id, abandoned_after)
 
     return (
         messages.writeStream.foreachBatch(handle)
@@ -78,5 +100,24 @@ def start(
     )
 
 
-def read_sessions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(MESSAGE).parquet(f"{path}/sessions")
+def read_ended(spark: SparkSession, path: str) -> DataFrame:
+    """(request_id, status, first_batch, batch) of every session that has ended, with the batch that ended it."""
+    if not dir_exists(spark, f"{path}/ended"):
+        return spark.createDataFrame([], _ENDED)
+    return spark.read.schema(_ENDED).parquet(f"{path}/ended")
+
+
+def read_sessions(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
+    """Messages of the whole sessions that ended, all of them or those of one batch.
+
+    Messages later than the batch that ended their session are left out.
+    """
+    ended = read_ended(spark, path).where(F.col("status") == ENDED)
+    log = spark.read.schema(_LOGGED).parquet(f"{path}/messages")
+    if batch_id is not None:
+        ended = ended.where(F.col("batch") == batch_id)
+        oldest = ended.agg(F.min("first_batch")).first()[0]
+        log = log.where(F.col("batch").between(batch_id if oldest is None else oldest, batch_id))
+    spans = ended.select("request_id", "first_batch", F.col("batch").alias("last_batch"))
+    inside = F.col("batch").between(F.col("first_batch"), F.col("last_batch"))
+    return log.join(spans, "request_id").where(inside).select(*MESSAGE.names)

@@ -1,4 +1,5 @@
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,16 +31,35 @@ def test_lenient_strict_and_malformed(spark):
 
 
 def test_index_document_round_trip(spark):
+    at = datetime.datetime(2024, 2, 29, 6, 7, 8, 90_000)
     doc = documents.crawled_content_document(
-        F.lit("digest"), F.lit("id"), F.lit("http://www.example.com"), F.lit(datetime.datetime(2021, 8, 27, 13, 52))
+        F.lit("sha1:AB:c9"), F.lit("rec-4"), F.lit("https://shop.test/a?b=1"), F.lit(at)
     )
     text = spark.range(1).select(doc).first()[0]
-    assert text == (
-        '{"date":"2021-08-27T13:52:00.000000Z","digest":"digest","targetUri":"http://www.example.com","warcId":"id"}'
-    )
+    fields = {"date": at.strftime("%Y-%m-%dT%H:%M:%S.%fZ"), "digest": "sha1:AB:c9"}
+    fields |= {"targetUri": "https://shop.test/a?b=1", "warcId": "rec-4"}
+    assert json.loads(text) == fields
     back = documents.decode_lenient(F.lit(text), "digest string, targetUri string, warcId string, date timestamp")
     row = spark.range(1).select(back.alias("d")).select("d.*").first()
-    assert (row.digest, row.warcId, row.date) == ("digest", "id", datetime.datetime(2021, 8, 27, 13, 52))
+    assert (row.digest, row.warcId, row.date) == ("sha1:AB:c9", "rec-4", at)
+
+
+def test_strict_reading_at_every_depth(spark):
+    inner = T.StructType([T.StructField("k", T.IntegerType())])
+    schema = T.StructType(
+        [T.StructField("a", inner), T.StructField("l", T.ArrayType(inner)), T.StructField("m", T.MapType(T.StringType(), inner))]
+    )
+    cases = {
+        '{"a":{"k":1},"l":[{"k":2}],"m":{"x":{"k":3}}}': "OK",
+        '{"a":null,"l":[null],"m":null}': "OK",
+        '{"a":{"k":1,"z":2}}': "UNKNOWN_FIELD",
+        '{"l":[{"k":1},{"z":2}]}': "UNKNOWN_FIELD",
+        '{"m":{"x":{"z":{}}}}': "UNKNOWN_FIELD",
+        '{"a":{"k":"n"}}': "MALFORMED",
+    }
+    rows = spark.createDataFrame([(doc,) for doc in cases], "doc string")
+    found = rows.select("doc", documents.decode_status(F.col("doc"), schema)).collect()
+    assert dict(map(tuple, found)) == cases
 
 
 def test_unset_fields_are_left_out(spark):
@@ -64,4 +84,4 @@ def test_messages_are_stored_either_way(spark, tmp_path, form):
     rows.write.format(form).save(str(tmp_path / form))
     read = read_messages(spark, str(tmp_path / form), form)
     assert read.select("seq", "kind", "data").exceptAll(rows.select("seq", "kind", "data")).count() == 0
-    assert read.where("meta.record_meta[1].size = 267").count() == 1
+    assert read.where(f"meta.record_meta[1].size = {sample.RESPONSE_SIZE}").count() == 1

@@ -8,40 +8,41 @@ import sample
 from crawlspark.functions import calendar, digests, ids
 from crawlspark.settings import ArchiveSettings
 
-TIMES = ["2021-01-01 00:00:00", "2021-11-20 11:29:59", "2021-12-31 23:59:59"]
-KEYS = {
-    "NONE": ["", "", ""],
-    "HOURLY": ["2021010100", "2021112011", "2021123123"],
-    "DAILY": ["20210101", "20211120", "20211231"],
-    "MONTHLY": ["202101", "202111", "202112"],
-    "YEARLY": ["2021", "2021", "2021"],
-}
-SECONDS = {
-    "NONE": [None, None, None],
-    "HOURLY": [3600, 1801, 1],
-    "DAILY": [86400, 45001, 1],
-    "MONTHLY": [2678400, 909001, 1],
-    "YEARLY": [31536000, 3587401, 1],
-}
+#: A leap day, the last second of a leap February, the first second of a year, and a plain afternoon.
+TIMES = [
+    datetime.datetime(2024, 2, 29, 8, 15, 30),
+    datetime.datetime(2020, 2, 29, 23, 59, 59),
+    datetime.datetime(2023, 1, 1),
+    datetime.datetime(2022, 7, 14, 16, 45, 1),
+]
+KEY_FORMATS = {"NONE": "", "HOURLY": "%Y%m%d%H", "DAILY": "%Y%m%d", "MONTHLY": "%Y%m", "YEARLY": "%Y"}
+
+
+def next_bucket(at, policy):
+    hour = at.replace(minute=0, second=0)
+    if policy == "HOURLY":
+        return hour + datetime.timedelta(hours=1)
+    day = hour.replace(hour=0)
+    if policy == "DAILY":
+        return day + datetime.timedelta(days=1)
+    if policy == "MONTHLY":
+        return (day.replace(day=1) + datetime.timedelta(days=32)).replace(day=1)
+    return day.replace(year=at.year + 1, month=1, day=1)
 
 
 def test_rotation_of_every_policy(spark):
-    rows = [(t, p) for p in KEYS for t in TIMES]
-    cases = spark.createDataFrame(rows, "t string, policy string").select(
-        F.col("t").cast("timestamp").alias("ts"), "policy", "t"
-    )
-    found = cases.select(
-        "t",
+    rows = [(t, p) for p in KEY_FORMATS for t in TIMES]
+    found = spark.createDataFrame(rows, "ts timestamp, policy string").select(
+        "ts",
         "policy",
         calendar.rotation_key(F.col("ts"), F.col("policy")).alias("key"),
         calendar.micros_to_next_rotation(F.col("ts"), F.col("policy")).alias("micros"),
     ).collect()
-    assert len(found) == 15
+    assert len(found) == len(rows)
     for row in found:
-        at = TIMES.index(row.t)
-        seconds = SECONDS[row.policy][at]
-        assert row.key == KEYS[row.policy][at]
-        assert row.micros == (None if seconds is None else seconds * 1_000_000)
+        assert row.key == row.ts.strftime(KEY_FORMATS[row.policy])
+        wait = None if row.policy == "NONE" else next_bucket(row.ts, row.policy) - row.ts
+        assert row.micros == (wait and wait // datetime.timedelta(microseconds=1))
 
 
 def test_effective_rotation_is_the_finer_policy(spark):
@@ -57,16 +58,16 @@ def test_effective_rotation_is_the_finer_policy(spark):
 @pytest.mark.parametrize(
     "sub, policy, serial, compress, pattern",
     [
-        ("UNDEFINED", "NONE", 1, False, r"^foo-\d{14}-0001-h\.warc$"),
-        ("UNDEFINED", "YEARLY", 2, False, r"^foo_\d{4}-\d{14}-0002-h\.warc$"),
-        ("DNS", "MONTHLY", 1, False, r"^foo_DNS_\d{6}-\d{14}-0001-h\.warc$"),
-        ("DNS", "DAILY", 12345, True, r"^foo_DNS_\d{8}-\d{14}-12345-h\.warc\.gz$"),
+        ("UNDEFINED", "NONE", 1, False, r"^news-\d{14}-0001-h\.warc$"),
+        ("UNDEFINED", "YEARLY", 2, False, r"^news_\d{4}-\d{14}-0002-h\.warc$"),
+        ("DNS", "MONTHLY", 1, False, r"^news_DNS_\d{6}-\d{14}-0001-h\.warc$"),
+        ("DNS", "DAILY", 12345, True, r"^news_DNS_\d{8}-\d{14}-12345-h\.warc\.gz$"),
     ],
 )
 def test_file_names(spark, sub, policy, serial, compress, pattern):
-    ts = F.lit("2021-11-20 11:29:59").cast("timestamp")
+    ts = F.lit("2024-02-29 08:15:30").cast("timestamp")
     key = calendar.rotation_key(ts, F.lit(policy))
-    name = calendar.collection_final_name(F.lit("foo"), F.lit(sub), key)
+    name = calendar.collection_final_name(F.lit("news"), F.lit(sub), key)
     full = calendar.file_name(name, ts, F.lit(serial), "h", F.lit(compress))
     assert spark.range(1).where(full.rlike(pattern)).count() == 1
 
@@ -102,7 +103,7 @@ def test_both_spellings_of_a_digest_are_equal(spark):
     assert found.first() == (True, True, False, False)
 
 
-UUID = "b2f7c3a4-0d71-467f-b728-de86be386c6f"
+UUID = "0e2d9a51-7c44-4b1f-9a60-3f5b8c1d2e7a"
 
 
 @pytest.mark.parametrize(
@@ -113,7 +114,7 @@ UUID = "b2f7c3a4-0d71-467f-b728-de86be386c6f"
         (UUID.upper(), UUID),
         ("{" + UUID + "}", UUID),
         (UUID.replace("-", ""), UUID),
-        ("<urn:uuid:fff232109-0d71-467f-b728-de86be386c6f>", None),
+        ("<urn:uuid:abc0e2d9a51-7c44-4b1f-9a60-3f5b8c1d2e7a>", None),
         ("<urn:uuid:>", None),
         ("", None),
     ],
@@ -125,12 +126,12 @@ def test_record_ids(spark, raw, parsed):
 @pytest.mark.parametrize(
     "raw, parsed",
     [
-        ("2021-08-27T13:52:00Z", datetime.datetime(2021, 8, 27, 13, 52)),
-        ("2021-08-27T13:52:00.123456789+02:00", datetime.datetime(2021, 8, 27, 11, 52, 0, 123456)),
-        ("2021", None),
-        ("20210827", None),
-        ("2021-13-27T13:52:00Z", None),
-        ("http://www.example.com", None),
+        ("2024-02-29T06:07:08Z", datetime.datetime(2024, 2, 29, 6, 7, 8)),
+        ("2024-02-29T06:07:08.987654321-03:30", datetime.datetime(2024, 2, 29, 9, 37, 8, 987654)),
+        ("1999", None),
+        ("19991231", None),
+        ("2023-02-30T00:00:00Z", None),
+        ("no date", None),
     ],
 )
 def test_dates(spark, raw, parsed):

@@ -121,14 +121,12 @@ def test_index_pruned_by_bucket(spark):
     assert "PartitionFilters: [isnotnull(period" in plan
 
 
-def test_few_keys_go_to_the_index_and_many_meet_it(spark, monkeypatch):
+def test_keys_are_matched_by_what_spark_measures(spark):
     index = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "digest string, n int")
     keys = spark.createDataFrame([("k1",), ("k1",), ("k2",), ("x",)], "digest string")
-    for limit, expected in ((10, True), (1, False)):
-        monkeypatch.setattr(crawled_index, "BROADCAST_KEYS", limit)
-        found = crawled_index.matching(index, keys)
-        assert sorted(r.digest for r in found.collect()) == ["k1", "k2"]
-        assert ("strategy=broadcast" in found._jdf.queryExecution().logical().toString()) == expected
+    found = crawled_index.matching(index, keys)
+    assert sorted(r.digest for r in found.collect()) == ["k1", "k2"]
+    assert "strategy=broadcast" not in found._jdf.queryExecution().logical().toString()
     none = crawled_index.relevant(
         crawled_index.read_index(spark, shared_dir(spark, "none")), keyed(spark, [(1, 0, None)])
     )
@@ -141,19 +139,19 @@ def test_sample_session_as_a_revisit(spark, scratch):
     settings = ArchiveSettings(salts=4)
     found = archive.read_sessions(messages, sample.config(spark), settings, scratch)
     keyed_rows = archive.key_records(found.accepted(), settings, scratch)
-    key = f"{sample.RESPONSE_PAYLOAD}:c1_2000101002"
+    key = f"{sample.RESPONSE_PAYLOAD}:c1_{sample.HOUR}"
     assert [r.revisit_key for r in keyed_rows.orderBy("record_num").collect()] == [None, key]
     stored_id = "fff232109-0d71-467f-b728-de86be386c6f"
     date = datetime.datetime(2021, 8, 27, 13, 52)
     index = spark.createDataFrame(
-        [(key, stored_id, "http://www.example.com", date, 0, 0, "2000101002")],
+        [(key, stored_id, "http://www.example.com", date, 0, 0, sample.HOUR)],
         "digest string, warc_id string, target_uri string, date timestamp, request_id long, record_num int, bucket string",
     )
     decided = archive.decided_records(keyed_rows, settings, scratch, index)
     request, response = decided.orderBy("record_num").collect()
     assert (request.record_type, request.block_digest) == ("REQUEST", sample.REQUEST_BLOCK)
     assert response.record_type == "REVISIT"
-    assert response.size == 248
+    assert response.size == sample.REVISIT_SIZE
     assert response.block_digest == sample.REVISIT_BLOCK
     assert response.payload_digest == sample.RESPONSE_PAYLOAD
     assert response.refers_to == f"<urn:uuid:{stored_id}>"
@@ -176,5 +174,17 @@ def test_missing_digests_are_computed(spark):
         "header binary, payload binary, payload_digest string, block_digest string",
     )
     found = revisit.measure_records(rows).select("payload_digest", "block_digest", "size", F.col("header_size")).collect()
-    assert tuple(found[0]) == (sample.RESPONSE_PAYLOAD, sample.RESPONSE_BLOCK, 267, 248)
+    assert tuple(found[0]) == (sample.RESPONSE_PAYLOAD, sample.RESPONSE_BLOCK, sample.RESPONSE_SIZE, sample.REVISIT_SIZE)
     assert tuple(found[1]) == ("sha1:declared", "sha1:block", 1, 0)
+
+
+def test_one_row_per_digest_also_within_a_batch(spark):
+    at = sample.FETCHED
+    rows = [("d", "id2", "u", at, 2, 0, "b"), ("d", "id1", "u", at, 1, 1, "b"), ("e", "id3", "u", at, 3, 0, "b"), ("h", "id4", "u", at, 4, 0, "b")]
+    names = "digest string, warc_id string, target_uri string, date timestamp, request_id long, record_num int, bucket string"
+    candidates, path = spark.createDataFrame(rows, names), shared_dir(spark, "index")
+    held = candidates.where("digest = 'h'")
+    assert {(r.digest, r.warc_id) for r in crawled_index.new_rows(candidates, held).collect()} == {("d", "id1"), ("e", "id3")}
+    crawled_index.append_batch(candidates, path, 0)
+    stored = crawled_index.read_index(spark, path).collect()
+    assert sorted((r.digest, r.warc_id) for r in stored) == [("d", "id1"), ("e", "id3"), ("h", "id4")]

@@ -8,41 +8,68 @@ from crawlspark.streaming import sessions
 from crawlspark.workspace import shared_dir
 
 
+END = [None, None, None, None]
+
+
 def test_sessions_are_released_whole_and_late(spark):
-    source, path, now = shared_dir(spark, "source"), shared_dir(spark, "path"), [1000]
+    source, path = shared_dir(spark, "source"), shared_dir(spark, "path")
 
     def feed(rows):
         sample.messages(spark, rows).write.mode("append").parquet(source)
-        sessions.start(
-            stream_messages(spark, source), path, abandoned_after=50, clock=lambda: now[0], availableNow=True
-        ).awaitTermination()
+        sessions.start(stream_messages(spark, source), path, availableNow=True).awaitTermination()
         released = sessions.read_sessions(spark, path)
         return sorted((r.request_id, r.seq) for r in released.collect())
 
     one, two, three = (sample.session(i) for i in (1, 2, 3))
-    end = [None, None, None, None]
     assert feed(one[:2] + two[:1] + three) == []
-    assert feed(one[2:] + [(1, 9, "eof", *end)]) == [(1, s) for s in (0, 1, 2, 3, 9)]
-    now[0] += 40
     first = [(1, s) for s in (0, 1, 2, 3, 9)]
-    assert feed(two[1:2]) == first
-    # Session 3 was silent for too long and is dropped; session 2 was not.
-    now[0] += 40
-    assert feed([(2, 9, "cancel", *end)]) == first + [(2, 0), (2, 1), (2, 9)]
-    assert feed([(3, 9, "eof", *end)]) == first + [(2, 0), (2, 1), (2, 9), (3, 9)]
+    assert feed(one[2:] + [(1, 9, "eof", *END)]) == first
+    # However long it takes, nothing of an open session is lost; what comes after an end does not count.
+    assert feed(two[1:2] + [(1, 10, "eof", *END)]) == first
+    second = first + [(2, 0), (2, 1), (2, 9)]
+    assert feed([(2, 9, "cancel", *END)]) == second
+    assert feed([(3, 9, "eof", *END)]) == second + [(3, s) for s in (0, 1, 2, 3, 9)]
     assert read_messages(spark, source).schema == MESSAGE
+    state = spark.read.parquet(f"{path}/open/batch=4")
+    assert state.count() == 0 and "data" not in state.columns
+
+
+def test_every_end_of_a_session_ends_it(spark):
+    path = shared_dir(spark, "path")
+    header, payload = (lambda n, s, d: (n, s, "header", 0, d, None, None)), (lambda n, s: (n, s, "payload", 0, b"p", None, None))
+    sessions.close_batch(sample.messages(spark, [payload(1, 0), payload(2, 0), header(3, 0, b""), payload(4, 0)]), path, 0)
+    later = [header(1, 1, b"x"), (2, 1, "trailer", None, None, None, None), header(3, 1, b"x")]
+    for _ in range(2):
+        sessions.close_batch(sample.messages(spark, later), path, 1)
+        ended = {(r.request_id, r.status, r.batch) for r in sessions.read_ended(spark, path).collect()}
+        assert ended == {(1, "ENDED", 1), (2, "ENDED", 1)}
+        assert sessions.read_sessions(spark, path).count() == 4
+    sessions.close_batch(sample.messages(spark, [payload(3, 2)]), path, 2, abandoned_after=2)
+    ended = {(r.request_id, r.status) for r in sessions.read_ended(spark, path).where("batch = 2").collect()}
+    assert ended == {(4, "ABANDONED")}
+    assert sessions.read_sessions(spark, path, 2).count() == 0
 
 
 def test_repeated_batch_releases_the_same(spark):
     path = shared_dir(spark, "path")
     first = sample.messages(spark, sample.session(1)[:2])
-    second = sample.messages(spark, sample.session(1)[2:] + [(1, 9, "eof", None, None, None, None)])
-    sessions.close_batch(first, path, 0, 0, 50)
+    second = sample.messages(spark, sample.session(1)[2:] + [(1, 9, "eof", *END)])
+    sessions.close_batch(first, path, 0)
     for _ in range(2):
-        sessions.close_batch(second, path, 1, 0, 50)
+        sessions.close_batch(second, path, 1)
         assert sessions.read_sessions(spark, path).count() == 5
 
 
+def test_config_outlives_its_files(spark):
+    source = shared_dir(spark, "config")
+    write = lambda name: spark.createDataFrame([(name,)], "id string").write.mode("overwrite").parquet(source)
+    write("old")
+    fresh = stream_config.FreshConfig(lambda: spark.read.parquet(source), ttl=100, clock=lambda: 0.0)
+    assert fresh().first().id == "old"
+    write("new")
+    assert fresh().first().id == "old"
+
+
 def test_config_is_read_again_after_its_time(spark):
     now, reads = [0.0], []
 
