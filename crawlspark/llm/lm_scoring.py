@@ -24,6 +24,17 @@ MIN_COUNT = 2
 SLICE_ROWS = 2500
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest whole numbers that hold them, behind a byte with their width."""
+    width = next(w for w in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << 8 * w)
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(data: pa.Scalar) -> np.ndarray:
+    buffer = data.as_buffer()
+    return np.frombuffer(buffer, f"<u{buffer[0]}", offset=1).astype(np.int64)
+
+
 class _Grams:
     """The n-grams of a slice: of each token by length, as places in the sorted distinct ones."""
 
@@ -110,19 +121,19 @@ def scored(
         bucket = (grams.keys >> shift).astype(np.int64) if buckets > 1 else np.zeros(len(grams.keys), np.int64)
         bounds = np.searchsorted(bucket, np.arange(buckets + 1))
         rows = np.flatnonzero(np.diff(bounds))
-        keys, counts = grams.keys.tobytes(), grams.counts.astype(np.uint32).tobytes()
+        keys = grams.keys.tobytes()
         return pa.table(
             {
                 "bucket": pa.array(rows, pa.int32()),
                 "slice": pa.array(np.full(len(rows), table.column("slice")[0].as_py()), pa.int64()),
                 "keys": pa.array([keys[8 * bounds[b] : 8 * bounds[b + 1]] for b in rows], pa.binary()),
-                "counts": pa.array([counts[4 * bounds[b] : 4 * bounds[b + 1]] for b in rows], pa.binary()),
+                "counts": pa.array([_packed(grams.counts[bounds[b] : bounds[b + 1]]) for b in rows], pa.binary()),
             }
         )
 
     def answer(table: pa.Table) -> pa.Table:
         keys = np.concatenate([np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("keys")])
-        counts = np.concatenate([np.frombuffer(v.as_buffer(), np.uint32) for v in table.column("counts")])
+        counts = np.concatenate([_unpacked(v) for v in table.column("counts")])
         _, inverse = np.unique(keys, return_inverse=True)
         totals = np.bincount(inverse, weights=counts)[inverse].astype(np.int64)
         ends = np.cumsum(pc.binary_length(table.column("keys").combine_chunks()).to_numpy() // 8)
@@ -131,14 +142,14 @@ def scored(
             {
                 "slice": table.column("slice"),
                 "bucket": table.column("bucket"),
-                "totals": pa.array([p.tobytes() for p in parts], pa.binary()),
+                "totals": pa.array([_packed(p) for p in parts], pa.binary()),
             }
         )
 
     def score(texts: pa.Table, totals: pa.Table) -> pa.Table:
         grams = _Grams(texts.column("text"), order)
         totals = totals.sort_by("bucket")
-        found = np.concatenate([np.frombuffer(v.as_buffer(), np.int64) for v in totals.column("totals")])
+        found = np.concatenate([_unpacked(v) for v in totals.column("totals")])
         return pa.table(
             {
                 "doc_id": texts.column("doc_id"),

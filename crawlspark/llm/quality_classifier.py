@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 from crawlspark.llm.membership import bitmap, may_contain
 from crawlspark.llm.tokens import Texts, slices, words
+from crawlspark.workspace import Scratch
 
 HASHED = 1 << 16
 ECHOES = (2, 3, 4, 5)
 FEATURES = HASHED + len(ECHOES)
 
-#: The hinge-loss fit uses at most so many labelled rows, those with the least hash of their id.
+#: The hinge-loss fit uses at most so many labelled rows, taken by the hash of their id.
 #: The class counts cover all of them.
 FIT_ROWS = 6000
 EPOCHS, COST, SMOOTHING, TINY = 12, 1.0, 1.0, 1e-12
@@ -99,10 +100,13 @@ def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratios:
     return QualityModel(w * ratios, squares, bias)
 
 
-def fit_quality(labelled: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> QualityModel:
+def fit_quality(
+    labelled: DataFrame, labels: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS
+) -> QualityModel:
     """Learn from the texts of ``labelled`` (doc_id, text) that ``labels`` (doc_id, quality) marks.
 
-    Counts are summed by task and then by feature. Labels that are null are no
+    Features are written down once. Counts are summed by task and then by feature; the rows
+    of the fit are those with an id hash below a cutoff, so no task returns many more than its share. Labels that are null are no
     labels; a doc_id with both labels counts as both. Without labels of both
     kinds every text scores as good.
     """
@@ -122,11 +126,8 @@ def fit_quality(labelled: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
                     [batch.column(0).slice(lo, hi - lo), pa.array(found, pa.binary())], names=["doc_id", "features"]
                 )
 
-    rows = (
-        labelled.select(F.col("doc_id").cast("long"), "text")
-        .mapInArrow(extract, "doc_id long, features binary")
-        .join(marks, "doc_id")
-    )
+    found = labelled.select(F.col("doc_id").cast("long"), "text").mapInArrow(extract, "doc_id long, features binary")
+    rows = scratch.keep(found.join(marks, "doc_id"), "features")
 
     def count(batches):
         totals = np.zeros((2, FEATURES), np.int64)
@@ -145,7 +146,9 @@ def fit_quality(labelled: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
         .agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     )
     ratios = class_ratios([tuple(r) for r in counts.collect()])
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(fit_rows).collect()
+    share = min(1.0, fit_rows / max(1, rows.count()))
+    hashed = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) * F.lit(2.0**-53)
+    sample = sorted(rows.where(hashed <= share).select("doc_id", "label", "features").collect())[:fit_rows]
     y = np.array([r["label"] for r in sample])
     if len(set(y.tolist())) < 2:
         return QualityModel(np.zeros(FEATURES), np.zeros(FEATURES), 1.0)

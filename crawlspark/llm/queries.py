@@ -83,7 +83,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def fitted_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_classifier.QualityModel:
-    return quality_classifier.fit_quality(docs.where(~held_out()), table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    return quality_classifier.fit_quality(docs.where(~held_out()), labels, Scratch(spark))
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,9 +33,9 @@ SPACE = "▁".encode()
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPREAD = np.uint64(0xD1342543DE82EF95)
-_FILTER_BITS = 20
-#: Texts that share one table of lattices. A worker needs some 200 MB for one MB of them.
-SLICE_BYTES = 1 << 20
+_FILTER_BITS = 16
+#: Texts that share one table of lattices. A worker needs some 200 MB per MB of them.
+SLICE_BYTES = 1 << 19
 
 
 def _powers(base: np.uint64, size: int) -> np.ndarray:
@@ -83,14 +83,15 @@ class Vocabulary:
         place = np.arange(len(flat)) - np.repeat(begin, lengths)
         keys = np.add.reduceat(flat * powers[place], begin) * _SPREAD
         order = np.argsort(keys)
-        seen = np.zeros(1 << _FILTER_BITS, bool)
-        seen[keys >> np.uint64(64 - _FILTER_BITS)] = True
+        # By length, which upper bits of a key occur: most substrings are told to be no pieces by that.
+        seen = {int(n): np.zeros(1 << _FILTER_BITS, bool) for n in set(lengths.tolist())}
+        for n, table in seen.items():
+            table[keys[lengths == n] >> np.uint64(64 - _FILTER_BITS)] = True
         surface = [p for p in self.pieces]
         self.lookup = {
             "keys": keys[order],
             "ids": np.array(real, np.int32)[order],
             "seen": seen,
-            "lengths": sorted(set(lengths.tolist())),
             "surface": np.frombuffer(b"".join(surface), np.uint8),
             "surface_at": np.concatenate([[0], np.cumsum([len(p) for p in surface])]),
         }
@@ -150,21 +151,23 @@ def build(vocabulary: Vocabulary, data: np.ndarray, begin: np.ndarray, end: np.n
     powers, inverses = _powers(_BASE, int(lengths.max()) + 1), _powers(_INVERSE, int(lengths.max()) + 1)
     terms = np.zeros(total, np.uint64)
     terms[node] = (bytes_.astype(np.uint64) + np.uint64(1)) * powers[place]
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(terms)])
+    longest = max(look["seen"])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(terms), np.zeros(longest, np.uint64)])
     heads = np.flatnonzero((bytes_ & 0xC0) != 0x80)
     at, room = node[heads].astype(np.int32), left[heads].astype(np.int32)
     low, scale = sums[at], inverses[place[heads]] * _SPREAD
     origin, target, ids = [], [], []
-    for length in look["lengths"]:
+    for length in sorted(look["seen"]):
         fits = room >= length
-        if not fits.all():
-            at, room, low, scale = at[fits], room[fits], low[fits], scale[fits]
-        if not len(at):
+        count = int(fits.sum())
+        if not count:
             break
+        if count < 0.7 * len(at):
+            at, room, low, scale = at[fits], room[fits], low[fits], scale[fits]
         key = (sums[at + length] - low) * scale
-        maybe = np.flatnonzero(look["seen"][key >> np.uint64(64 - _FILTER_BITS)])
+        maybe = np.flatnonzero(look["seen"][length][key >> np.uint64(64 - _FILTER_BITS)])
         slot = np.minimum(np.searchsorted(look["keys"], key[maybe]), len(look["keys"]) - 1)
-        hit = look["keys"][slot] == key[maybe]
+        hit = (look["keys"][slot] == key[maybe]) & (room[maybe] >= length)
         origin.append(at[maybe[hit]])
         target.append(origin[-1] + np.int32(length))
         ids.append(look["ids"][slot[hit]])
@@ -188,6 +191,8 @@ def build(vocabulary: Vocabulary, data: np.ndarray, begin: np.ndarray, end: np.n
     depth = np.zeros(total, np.int64)
     depth[node + 1] = place + 1
     edge_depth = depth[target]
+    if lengths.max() < 1 << 16:
+        edge_depth = edge_depth.astype(np.uint16)  # whose sort takes linear time
     by_depth = np.argsort(edge_depth, kind="stable")
     bounds = np.searchsorted(edge_depth[by_depth], np.arange(1, int(lengths.max()) + 2))
     mass = np.zeros(total)

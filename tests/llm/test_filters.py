@@ -10,19 +10,19 @@ def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int")
 
 
-def test_classifier_learns_and_survives_awkward_rows(spark, awkward, no_docs):
+def test_classifier_learns_and_survives_awkward_rows(spark, awkward, no_docs, scratch):
     good = [(100 + i, "plain words in a sentence number " + "abcdefgh"[i % 8] * 3) for i in range(40)]
     bad = [(200 + i, "### *** ### *** " * 5 + "abcdefgh"[i % 8]) for i in range(40)]
     docs = spark.createDataFrame(good + bad, "doc_id long, text string")
     marks = labels(spark, [(i, 1) for i, _ in good] + [(i, 0) for i, _ in bad] + [(None, 1), (100, None), (9999, 1)])
-    model = quality_classifier.fit_quality(docs, marks)
+    model = quality_classifier.fit_quality(docs, marks, scratch)
     scores = quality_classifier.with_quality(docs, model).collect()
     assert all((r.score >= 0.5) == (r.doc_id < 200) for r in scores)
     found = quality_classifier.with_quality(awkward, model)
     assert set(found.columns) == set(awkward.columns) and found.count() == 10
     assert found.where("score between 0 and 1").count() == 10
     assert quality_classifier.with_quality(no_docs, model).count() == 0
-    none = quality_classifier.fit_quality(docs, marks.where("false"))
+    none = quality_classifier.fit_quality(docs, marks.where("false"), scratch)
     assert quality_classifier.with_quality(docs, none).where("score < 0.5").count() == 0
 
 
