@@ -15,6 +15,7 @@ from crawlspark.operators.skew import salt
 from crawlspark.settings import ArchiveSettings
 
 _FIRST = ("request_id", "record_num", "warc_id", "target_uri", "date")
+_KNOWN = (*_FIRST, "bucket")
 
 
 def route_sessions(records: DataFrame) -> DataFrame:
@@ -51,7 +52,7 @@ def measure_records(records: DataFrame) -> DataFrame:
 
 def with_final_name(records: DataFrame, settings: ArchiveSettings) -> DataFrame:
     """Adds the calendar columns: dedup bucket, collection final name, file group."""
-    clock = local_clock(F.col("fetch_ts"), settings.time_zone)
+    clock = local_clock(F.col(settings.clock), settings.time_zone)
     effective = effective_rotation(F.col("dedup_policy"), F.col("rotation_policy"))
     return (
         records.withColumn("bucket", rotation_key(clock, F.col("dedup_policy")))
@@ -82,9 +83,10 @@ def eligible_records(records: DataFrame) -> DataFrame:
     return records.where(ids.is_revisitable(F.col("record_type")))
 
 
-def _first_struct() -> Column:
+def _first_struct(order: str | None) -> Column:
     # A struct compares field by field, so its minimum is the earliest record.
     return F.struct(
+        (F.col(order) if order else F.lit(None).cast("long")).alias("arrived"),
         "request_id",
         "record_num",
         "warc_id",
@@ -94,22 +96,27 @@ def _first_struct() -> Column:
     )
 
 
-def first_writer(records: DataFrame, salts: int) -> DataFrame:
+def first_writer(records: DataFrame, salts: int, order: str | None = None) -> DataFrame:
     """One row per revisit key: the record that stored it first.
 
+    First is first by the column ``order``, then by request and record; without
+    it request ids must grow with time.
+
     Two partial steps, by (key, salt) and by key, so that no task sees all
     copies of a hot payload.
     """
     salted = (
         records.where(F.col("revisit_key").isNotNull())
         .groupBy("revisit_key", salt(salts, "request_id", "record_num").alias("salt"))
-        .agg(F.min(_first_struct()).alias("first"))
+        .agg(F.min(_first_struct(order)).alias("first"))
     )
     firsts = salted.groupBy("revisit_key").agg(F.min("first").alias("first"))
-    return firsts.select("revisit_key", "first.*")
+    return firsts.select("revisit_key", *[f"first.{name}" for name in _KNOWN])
 
 
-def detect_revisits(records: DataFrame, salts: int, index: DataFrame | None = None) -> DataFrame:
+def detect_revisits(
+    records: DataFrame, salts: int, index: DataFrame | None = None, order: str | None = None
+) -> DataFrame:
     """Adds ``is_revisit`` and ``reference`` (the first writer of a revisit).
 
     A record is a revisit if another session stored its key before: one found
@@ -121,17 +128,19 @@ def detect_revisits(records: DataFrame, salts: int, index: DataFrame | None = No
     groups = (
         salted.where(F.col("revisit_key").isNotNull())
         .groupBy("revisit_key", "salt")
-        .agg(F.min(_first_struct()).alias("local_first"))
+        .agg(F.min(_first_struct(order)).alias("local_first"))
     )
     # At most `salts` rows per key are left here.
     by_key = Window.partitionBy("revisit_key")
-    groups = groups.withColumn("first", F.min("local_first").over(by_key)).drop("local_first")
+    groups = groups.withColumn("local_first", F.min("local_first").over(by_key)).select(
+        "revisit_key", "salt", F.struct(*[F.col(f"local_first.{name}") for name in _KNOWN]).alias("first")
+    )
     if index is None:
         groups = groups.withColumn("stored", F.lit(False))
     else:
         known = index.select(
             F.col("digest").alias("revisit_key"),
-            F.struct("request_id", "record_num", "warc_id", "target_uri", "date", "bucket").alias("known"),
+            F.struct(*_KNOWN).alias("known"),
         )
         groups = groups.join(known, "revisit_key", "left").select(
             "revisit_key",

@@ -155,6 +155,8 @@ TABLES = {
         {octets('header||payload')} AS size FROM plain""",
     "keyed": keyed_of("records"),
     "firsts": firsts_of("keyed"),
+    "late": "SELECT * REPLACE (fetch_ts + INTERVAL 20 HOUR AS fetch_ts) FROM records",
+    "late_keyed": keyed_of("late"),
     "decided": """SELECT k.*, coalesce(f.request_id <> k.request_id, false) AS is_revisit,
         CASE WHEN f.request_id <> k.request_id THEN f.request_id END AS ref_request_id,
         CASE WHEN f.request_id <> k.request_id THEN f.record_num END AS ref_record_num,
@@ -281,6 +283,8 @@ _NEEDS = {
     "records": ["plain"],
     "keyed": ["config", "records"],
     "firsts": ["keyed"],
+    "late": ["records"],
+    "late_keyed": ["config", "late"],
     "decided": ["firsts"],
     "rewritten": ["decided"],
     "headed": ["rewritten"],
@@ -498,6 +502,12 @@ ORACLE: dict[str, str] = {
         "keyed", "SELECT request_id, record_num, revisit_key FROM keyed WHERE revisit_key IS NOT NULL"
     ),
     "first_writer": over("firsts", "SELECT revisit_key, request_id, record_num, target_uri FROM firsts"),
+    "first_writer_by_arrival": over(
+        "late_keyed",
+        f"""SELECT revisit_key, request_id, record_num, bucket FROM (SELECT *, {bucket('fetch_ts', 'dedup_policy')} AS bucket,
+        row_number() OVER (PARTITION BY revisit_key ORDER BY request_id * 7919 % 10007, request_id, record_num) AS turn
+        FROM late_keyed WHERE revisit_key IS NOT NULL) WHERE turn = 1""",
+    ),
     "crawled_required": over(
         "keyed",
         """SELECT request_id, record_num, 'The required field '''||field||''' is missing from: ''crawledContent''' AS error

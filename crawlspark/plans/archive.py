@@ -49,7 +49,7 @@ def decided_records(
 
     Their sizes in a file are final from here on and are kept with them.
     """
-    decided = revisit.detect_revisits(keyed, settings.salts, index)
+    decided = revisit.detect_revisits(keyed, settings.salts, index, settings.order)
     rewritten = revisit.rewrite_revisits(decided, settings)
     return scratch.keep(files.with_stored_size(rewritten, settings), "decided")
 

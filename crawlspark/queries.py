@@ -1,6 +1,7 @@
 """One query per operator, over inputs derived from the driver's tables."""
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -398,6 +399,20 @@ def q_first_writer(spark, sf_dir):
     return firsts.select("revisit_key", *RECORD, "target_uri")
 
 
+@query
+def q_first_writer_by_arrival(spark, sf_dir):
+    """The same where request ids do not grow with time, with buckets of the time of ingestion."""
+    records = inputs.event_records(spark, sf_dir).withColumns(
+        {
+            "arrived": F.col("request_id") * 7919 % 10007,
+            "ingested": F.col("fetch_ts") + F.expr("INTERVAL 20 HOURS"),
+        }
+    )
+    settings = replace(SETTINGS, clock="ingested", order="arrived")
+    keyed = archive.keyed_records(records, inputs.collection_config(spark, sf_dir), settings, Scratch(spark))
+    return revisit.first_writer(keyed, settings.salts, settings.order).select("revisit_key", *RECORD, "bucket")
+
+
 @query
 def q_crawled_required(spark, sf_dir):
     keyed = keyed_events(spark, sf_dir, Scratch(spark))

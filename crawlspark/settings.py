@@ -15,7 +15,10 @@ class ArchiveSettings:
 
     ``pool_size`` is the number of files written side by side per file group;
     ``salts`` spreads the records of one hot payload over that many tasks;
-    ``time_zone`` is the zone the calendar buckets follow.
+    ``time_zone`` is the zone the calendar buckets follow and ``clock`` the
+    timestamp column they are taken from, the fetch time or that of ingestion.
+    ``order`` names a column of the records' arrival order, if request ids do
+    not grow with time.
     """
 
     warc_version: str = "1.1"
@@ -24,6 +27,8 @@ class ArchiveSettings:
     strict: bool = False
     time_zone: str = "UTC"
     salts: int = 256
+    clock: str = "fetch_ts"
+    order: str | None = None
 
     def __post_init__(self):
         if self.warc_version not in REVISIT_PROFILES:
