@@ -557,6 +557,7 @@ ORACLE: dict[str, str] = {
     ),
     "reply_map": over("placed", "SELECT request_id, record_num, record_type, storage_ref FROM placed"),
     "message_index": _message_index(),
+    "archive_batches": f"""SELECT request_id, record_num, true AS is_unique, true AS intact FROM ({_message_index()})""",
     "warc_write": over(
         "rewritten",
         """SELECT request_id, record_num, record_type, block_digest, upper(block_sha1) AS block_sha1, size,

@@ -565,6 +565,36 @@ def q_message_index(spark, sf_dir):
     )
 
 
+@query
+def q_archive_batches(spark, sf_dir):
+    """Messages to files in two batches, each of them repeated, then read back by the stored positions.
+
+    ``is_unique`` tells that no other record has the reference; ``intact`` that the block found there is as
+    long as its header says and, in a revisit, has its digest. Others keep the digest that was declared for them.
+    """
+    messages, config = inputs.event_messages(spark, sf_dir), inputs.collection_config(spark, sf_dir)
+    path, late = shared_dir(spark, "archive"), F.col("request_id") % 3 == 2
+    for batch, part in [(0, ~late), (1, late), (0, ~late), (1, late)]:
+        scratch, own = Scratch(spark), messages.where(part)
+        accepted = archive.read_sessions(own, config, SETTINGS, scratch).accepted()
+        keyed = archive.key_records(accepted, SETTINGS, scratch)
+        archive.archive_batch(spark, keyed, assembly.record_chunks(own), path, batch, SETTINGS)
+    back = [warc_sink.read_back(spark, f"{path}/warc/batch={batch}") for batch in (0, 1)]
+    index = spark.read.parquet(f"{path}/index").select(*RECORD, "storage_ref")
+    same = digests.same_digest(F.concat(F.lit("sha1:"), "block_sha1"), F.col("block_digest"))
+    twins = index.groupBy("storage_ref").agg((F.count("*") == 1).alias("is_unique"))
+    return (
+        back[0].unionByName(back[1])
+        .join(index, RECORD)
+        .join(twins, "storage_ref")
+        .select(
+            *RECORD,
+            "is_unique",
+            ((F.col("size") == F.col("content_length")) & (same | (F.col("record_type") != "REVISIT"))).alias("intact"),
+        )
+    )
+
+
 @query
 def q_warc_write(spark, sf_dir):
     """Written, then read back from the files by offset."""
