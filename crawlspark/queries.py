@@ -567,14 +567,14 @@ def q_message_index(spark, sf_dir):
 
 @query
 def q_archive_batches(spark, sf_dir):
-    """Messages to files in two batches, each of them repeated, then read back by the stored positions.
+    """Messages to files in two batches, the last one repeated, then read back by the stored positions.
 
     ``is_unique`` tells that no other record has the reference; ``intact`` that the block found there is as
     long as its header says and, in a revisit, has its digest. Others keep the digest that was declared for them.
     """
     messages, config = inputs.event_messages(spark, sf_dir), inputs.collection_config(spark, sf_dir)
     path, late = shared_dir(spark, "archive"), F.col("request_id") % 3 == 2
-    for batch, part in [(0, ~late), (1, late), (0, ~late), (1, late)]:
+    for batch, part in [(0, ~late), (1, late), (1, late)]:
         scratch, own = Scratch(spark), messages.where(part)
         accepted = archive.read_sessions(own, config, SETTINGS, scratch).accepted()
         keyed = archive.key_records(accepted, SETTINGS, scratch)
