@@ -182,9 +182,9 @@ def _shingle_sets(docs: DataFrame, wanted: np.ndarray, shingle_words: int) -> Da
 def _rare_shingles(sets: DataFrame) -> DataFrame:
     """(key, rep, left): so many of each set's rarest shingles that two similar sets share one.
 
-    ``left`` counts the shingles from this one on in the order. If a fifth of a set plus one, taken in an order that all sets share, has nothing in common with
-    that of another set, their similarity is below 0.8. Rare shingles first keeps passages that many
-    documents quote out of it. Frequencies are counted by ``_FREQUENCY_SLOTS`` hash slots, so the
+    ``left`` counts the shingles from this one on in the order. If a fifth of a set plus one, taken
+    in an order that all sets share, has nothing in common with that of another set, their
+    similarity is below 0.8. Rare shingles first keeps passages that many documents quote out of it. Frequencies are counted by ``_FREQUENCY_SLOTS`` hash slots, so the
     table that the tasks need has a fixed size; it decides the order only.
     """
 

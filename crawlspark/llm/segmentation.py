@@ -341,7 +341,8 @@ def sample(vocabulary: Vocabulary, part: Texts, seeds: np.ndarray, samples: int)
     root = -np.log(-np.log(_uniform(mix(seeds), 0, 0)))
     # A job continues a path: (document, chunk, node, phi, perturbed bound, pieces behind the node).
     tail = np.zeros(0, np.int32)
-    jobs = [(d, int(first[d + 1]) - 1, int(end[first[d + 1] - 1]) if first[d + 1] > first[d] else 0, 0.0, float(root[d]), tail) for d in range(docs)]
+    ends_at = [int(end[first[d + 1] - 1]) if first[d + 1] > first[d] else 0 for d in range(docs)]
+    jobs = [(d, int(first[d + 1]) - 1, ends_at[d], 0.0, float(root[d]), tail) for d in range(docs)]
     for number in range(samples):
         rows = [np.arange(first[d], c + 1) for d, c, *_ in jobs]
         doc = np.repeat(np.arange(len(jobs)), [len(r) for r in rows])
