@@ -152,6 +152,8 @@ def test_article_without_what_surrounds_it():
     assert html_extraction.main_blocks(blocks) == ["Head & line", "One bold text\xa0here.", "Two lines", "first", "second"]
     assert html_extraction.main_blocks(html_extraction.page_blocks("<p>a")) is None
     assert html_extraction.page_blocks(None) == []
+    marked = "<article><p>A<div class='relatedPosts'>B</div><ol id=commentlist><li>C</ol><p class=no-ads>D</article>"
+    assert html_extraction.main_blocks(html_extraction.page_blocks(marked)) == ["A", "D"]
 
 
 def test_repeated_runs_go_and_unique_runs_stay(spark, scratch):
