@@ -156,6 +156,21 @@ def test_article_without_what_surrounds_it():
     assert html_extraction.main_blocks(html_extraction.page_blocks(marked)) == ["A", "D"]
 
 
+def test_copies_of_a_page_keep_their_text(spark, scratch):
+    menu = "<p>home news sport weather about us contact imprint privacy terms</p>"
+    story = " ".join(f"story{i}" for i in range(60))
+    rows = [
+        (1, "http://h.test/a", f"{menu}<p>{story}</p>"),
+        (2, "http://h.test/a?utm_source=x", f"{menu}<p>{story}</p>"),
+        (3, "http://h.test/mirror/a", f"{menu}<p>{story} today</p>"),
+        (4, "http://h.test/b", f"{menu}<p>{' '.join(f'other{i}' for i in range(60))}</p>"),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html_extraction.main_text(pages, scratch).collect()}
+    assert found[1] == found[2] == story and found[3] == f"{story} today"
+    assert found[4].startswith("other0 ") and "menu" not in found[4] and "imprint" not in found[4]
+
+
 def test_repeated_runs_go_and_unique_runs_stay(spark, scratch):
     chrome = "<div>home news sport weather video audio about us contact imprint</div>"
     rows = [(i, f"http://h.test/{i}", f"{chrome}<p>story{i} that nobody else tells in this way</p>") for i in range(6)]
