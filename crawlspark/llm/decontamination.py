@@ -96,11 +96,11 @@ def template(part: Texts, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return canonical, values, number | unit | name, first
 
 
-_WINDOW = "id long, key long, at long, slots array<long>"
+_WINDOW = "id long, key long, at long, size int, slots array<long>"
 
 
 def template_windows(rows: DataFrame, sizes: list[int] | None, wanted: np.ndarray | None = None) -> DataFrame:
-    """Usable windows of the texts of ``rows`` (id, text): key, place of the first token, slot values.
+    """Usable windows of the texts of ``rows`` (id, text): key, place of the first token, length, slot values.
 
     ``sizes`` are the window lengths; None stands for ``WINDOW_WORDS``, or all the words of a
     shorter text. With ``wanted`` only windows whose key the filter may contain are returned.
@@ -133,9 +133,10 @@ def template_windows(rows: DataFrame, sizes: list[int] | None, wanted: np.ndarra
                             ids.take(pa.array(of[use])),
                             pa.array(keys[use].view(np.int64)),
                             pa.array(place[use], pa.int64()),
+                            pa.array(np.full(len(use), size), pa.int32()),
                             pa.array(listed, pa.list_(pa.int64())),
                         ],
-                        names=["id", "key", "at", "slots"],
+                        names=["id", "key", "at", "size", "slots"],
                     )
 
     return rows.mapInArrow(cut, _WINDOW)
@@ -152,13 +153,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text"), None
     )
     wanted = bitmap(items.select("key").distinct(), "key")
-    lengths = (
-        benchmark.select(F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"\s+"), "")).alias("n"))
-        .where(F.col("n") < WINDOW_WORDS)
-        .limit(1)
-        .count()
-    )
-    sizes = list(range(1, WINDOW_WORDS + 1)) if lengths else [WINDOW_WORDS]
+    # Documents are cut at the lengths that windows of items have; these are at most WINDOW_WORDS values.
+    sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [WINDOW_WORDS]
     found = template_windows(
         docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), sizes, wanted
     )

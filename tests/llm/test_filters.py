@@ -82,6 +82,16 @@ def test_templates_find_changed_numbers_and_names(spark):
     assert found == {(0, 1), (1, 1), (5, 4)} | ({(4, 1)} & found)
 
 
+def found_leaks(spark, docs, items):
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, items).collect()}
+
+
+def test_items_shorter_in_tokens_than_in_words_are_found(spark):
+    assert found_leaks(spark, ["we know x + y = z by now", "nothing"], ["x + y = z", "f(x) - g(x) = zero ?"]) == {(0, 0)}
+
+
 def test_leaks_of_awkward_rows(spark, awkward, no_docs):
     items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20, 50)))], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(awkward, items).collect()} == {(1, 1), (2, 1)}
