@@ -4,11 +4,14 @@ Words become template tokens: letters and digits only, in lower case; numbers,
 names and units become typed placeholders. Template windows of documents and
 benchmark items are hash-joined. What stands in the slots must then agree: along
 one alignment of document and item, equal slot values of the item
-must meet equal values of the document.
+must meet equal values of the document. Windows of the words as they are find verbatim
+copies, also of items that have hardly anything but numbers and names.
 """
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlspark.llm.membership import bitmap, may_contain
-from crawlspark.llm.tokens import Texts, lower_ascii, slices, texts, windows, words
+from crawlspark.llm.tokens import Texts, lower_ascii, mix, slices, texts, windows, words
 
 WINDOW_WORDS = 5
 CONTAINED_PERCENT = 80
@@ -32,6 +35,9 @@ UNITS = (
     "v hz gb mb kb"
 ).split()
 
+#: Readings of a text, whose windows meet only their own kind: template tokens, or the words as they are.
+TEMPLATE, LITERAL = 0, 1
+
 NUMBER, NAME, UNIT = (np.uint64(v) for v in (11, 12, 13))
 
 _LETTERS = np.zeros(256, bool)
@@ -96,11 +102,11 @@ def template(part: Texts, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return canonical, values, number | unit | name, first
 
 
-_WINDOW = "id long, key long, at long, size int, slots array<long>"
+_WINDOW = "id long, kind int, key long, at long, size int, slots array<long>"
 
 
 def template_windows(rows: DataFrame, sizes: list[int] | None, wanted: np.ndarray | None = None) -> DataFrame:
-    """Usable windows of the texts of ``rows`` (id, text): key, place of the first token, length, slot values.
+    """Usable windows of the texts of ``rows`` (id, text): kind, key, place of the first token, length, slot values.
 
     ``sizes`` are the window lengths; None stands for ``WINDOW_WORDS``, or all the words of a
     shorter text. With ``wanted`` only windows whose key the filter may contain are returned.
@@ -112,8 +118,10 @@ def template_windows(rows: DataFrame, sizes: list[int] | None, wanted: np.ndarra
                 ids = batch.column(0).slice(lo, hi - lo)
                 canonical, values, slot, first = template(part, lowered(batch.column(1).slice(lo, hi - lo), part))
                 counts = np.diff(first)
-                for size in sizes or range(1, WINDOW_WORDS + 1):
-                    keys, bounds = windows(canonical, first, size)
+                readings = {TEMPLATE: (canonical, slot), LITERAL: (values, np.zeros(len(values), bool))}
+                for (kind, (tokens, slot)), size in product(readings.items(), sizes or range(1, WINDOW_WORDS + 1)):
+                    keys, bounds = windows(tokens, first, size)
+                    keys = mix(keys + np.uint64(kind))
                     of = np.repeat(np.arange(hi - lo), np.diff(bounds))
                     place = np.arange(len(keys)) - bounds[of]
                     begin = first[of] + place
@@ -131,22 +139,24 @@ def template_windows(rows: DataFrame, sizes: list[int] | None, wanted: np.ndarra
                     yield pa.RecordBatch.from_arrays(
                         [
                             ids.take(pa.array(of[use])),
+                            pa.array(np.full(len(use), kind), pa.int32()),
                             pa.array(keys[use].view(np.int64)),
                             pa.array(place[use], pa.int64()),
                             pa.array(np.full(len(use), size), pa.int32()),
                             pa.array(listed, pa.list_(pa.int64())),
                         ],
-                        names=["id", "key", "at", "size", "slots"],
+                        names=["id", "kind", "key", "at", "size", "slots"],
                     )
 
     return rows.mapInArrow(cut, _WINDOW)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, matched, windows): documents that hold at least 80 % of an item's windows.
+    """(doc_id, item_id, matched, windows): documents that hold at least 80 % of an item's windows, or all its words in order.
 
     ``matched`` counts the item's places whose window the document has in an alignment with consistent slots.
-    Null texts, and items without a usable window, match nothing. A repeated item_id stands for the
+    Template windows decide, and windows of the words as they are for verbatim copies: all of them in one alignment, or 80 %
+    for an item without a usable template window. Null texts and items without a word match nothing. A repeated item_id stands for the
     union of its rows' places; rows that share a doc_id are one document. Rows without an id can't be named and are left out.
     """
     items = template_windows(
@@ -158,9 +168,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = template_windows(
         docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), sizes, wanted
     )
-    place = ["doc_id", "item_id"]
-    matches = found.select(F.col("id").alias("doc_id"), "key", F.col("at").alias("doc_at"), F.col("slots").alias("theirs")).join(
-        items.select(F.col("id").alias("item_id"), "key", "at", "slots"), "key"
+    place = ["doc_id", "item_id", "kind"]
+    theirs = [F.col("id").alias("doc_id"), "kind", "key", F.col("at").alias("doc_at"), F.col("slots").alias("theirs")]
+    matches = found.select(*theirs).join(
+        items.select(F.col("id").alias("item_id"), "kind", "key", "at", "slots"), ["kind", "key"]
     )
     # One row per slot that an alignment pairs up; conflicts are item values that meet two values.
     paired = (
@@ -176,13 +187,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .select(*place, "shift")
         .distinct()
     )
-    counts = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("at").alias("windows"))
-    return (
+    counts = items.groupBy(F.col("id").alias("item_id")).agg(
+        *[F.count_distinct(F.when(F.col("kind") == k, F.col("at"))).alias(f"windows{k}") for k in (TEMPLATE, LITERAL)]
+    )
+    windows_of = F.when(F.col("kind") == LITERAL, F.col(f"windows{LITERAL}")).otherwise(F.col(f"windows{TEMPLATE}"))
+    aligned = (
         matches.select(*place, (F.col("doc_at") - F.col("at")).alias("shift"), "at")
         .join(paired, [*place, "shift"], "left_anti")
-        .groupBy(*place)
+        .distinct()
+    )
+    # Places met under any alignment, and the most under one.
+    most = aligned.groupBy(*place, "shift").count().groupBy(*place).agg(F.max("count").alias("most"))
+    enough = F.col("matched") * 100 >= F.col("windows") * CONTAINED_PERCENT
+    return (
+        aligned.groupBy(*place)
         .agg(F.count_distinct("at").alias("matched"))
+        .join(most, place)
         .join(counts, "item_id")
-        .where(F.col("matched") * 100 >= F.col("windows") * CONTAINED_PERCENT)
-        .select("doc_id", "item_id", "matched", "windows")
+        .withColumn("windows", windows_of)
+        .where(
+            F.when((F.col("kind") == LITERAL) & (F.col(f"windows{TEMPLATE}") > 0), F.col("most") == F.col("windows"))
+            .otherwise(enough)
+        )
+        .groupBy("doc_id", "item_id")
+        .agg(F.min(F.struct("kind", "matched", "windows")).alias("found"))
+        .select("doc_id", "item_id", "found.matched", "found.windows")
     )

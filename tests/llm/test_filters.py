@@ -92,6 +92,12 @@ def test_items_shorter_in_tokens_than_in_words_are_found(spark):
     assert found_leaks(spark, ["we know x + y = z by now", "nothing"], ["x + y = z", "f(x) - g(x) = zero ?"]) == {(0, 0)}
 
 
+def test_verbatim_copies_of_numbers_and_names_are_found(spark):
+    items = ["Compute 12 + 34 * 56 - 78", "Is Tom Ann Bob or Eve Max Joe here", "1, 2, 3, 4, 5, 6, 7"]
+    docs = [f"it says {item} there" for item in items] + ["Compute 12 + 34 * 56 - 79", "7 6 5 4 3 2 1"]
+    assert found_leaks(spark, docs, items) == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_leaks_of_awkward_rows(spark, awkward, no_docs):
     items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20, 50)))], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(awkward, items).collect()} == {(1, 1), (2, 1)}
