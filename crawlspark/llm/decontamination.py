@@ -35,8 +35,9 @@ UNITS = (
     "v hz gb mb kb"
 ).split()
 
-#: Readings of a text, whose windows meet only their own kind: template tokens, or the words as they are.
-TEMPLATE, LITERAL = 0, 1
+#: Readings of a text, whose windows meet only their own kind: template tokens, the same with names also where a
+#: sentence begins, or the words as they are.
+TEMPLATE, NAMED, LITERAL = 0, 1, 2
 
 NUMBER, NAME, UNIT = (np.uint64(v) for v in (11, 12, 13))
 
@@ -69,13 +70,13 @@ def lowered(column: pa.Array, part: Texts) -> np.ndarray:
     return out
 
 
-def template(part: Texts, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Template tokens of a slice, given also in lower case: canonical hashes, hashes of the words, which are slots, bounds by text.
+def readings(part: Texts, low: np.ndarray) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray]:
+    """Readings of a slice, given also in lower case: by kind canonical hashes and which are slots; hashes of the words; bounds by text.
 
     A number begins with a digit (after signs and brackets). A unit stands behind
     a number, or is written together with it ("5km" is one number slot). A name is capitalised,
-    goes on in lower case and does not begin a text, a line or a sentence. Words without
-    letters and digits are dropped.
+    goes on in lower case and does not begin a text, a line or a sentence; as ``NAMED``, it may. Only the latter
+    depends on the word alone, not on what stands before it. Words without letters and digits are dropped.
     """
     data = part.data
     found = words(Texts(low, part.offsets), keep=_LETTERS)
@@ -83,7 +84,7 @@ def template(part: Texts, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     starts, ends, values = found.starts[some], found.ends[some], found.hashes[some]
     first = np.searchsorted(some, found.first)
     if not len(some):
-        return values, values, np.zeros(0, bool), first
+        return {k: (values, np.zeros(0, bool)) for k in (TEMPLATE, NAMED, LITERAL)}, values, first
     at = np.flatnonzero(_LETTERS[data])
     lead = at[np.searchsorted(at, starts)]
     tail = at[np.searchsorted(at, ends) - 1]
@@ -97,9 +98,12 @@ def template(part: Texts, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     within = breaks[starts] - breaks[tail[before]] == 0
     small = np.concatenate([[0], np.cumsum((data >= 97) & (data < 123) | (data >= 128))])
     large = np.concatenate([[0], np.cumsum(_UPPER[data])])
-    name = follows & within & _UPPER[data[lead]] & (large[ends] - large[starts] == 1) & (small[ends] > small[starts])
-    canonical = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, values)))
-    return canonical, values, number | unit | name, first
+    capitalised = _UPPER[data[lead]] & (large[ends] - large[starts] == 1) & (small[ends] > small[starts])
+    out = {LITERAL: (values, np.zeros(len(values), bool))}
+    for kind, name in ((TEMPLATE, follows & within & capitalised), (NAMED, capitalised)):
+        canonical = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, values)))
+        out[kind] = canonical, number | unit | name
+    return out, values, first
 
 
 _WINDOW = "id long, kind int, key long, at long, size int, slots array<long>"
@@ -116,10 +120,9 @@ def template_windows(rows: DataFrame, sizes: list[int] | None, wanted: np.ndarra
         for batch in batches:
             for lo, hi, part in slices(batch.column(1)):
                 ids = batch.column(0).slice(lo, hi - lo)
-                canonical, values, slot, first = template(part, lowered(batch.column(1).slice(lo, hi - lo), part))
+                read, values, first = readings(part, lowered(batch.column(1).slice(lo, hi - lo), part))
                 counts = np.diff(first)
-                readings = {TEMPLATE: (canonical, slot), LITERAL: (values, np.zeros(len(values), bool))}
-                for (kind, (tokens, slot)), size in product(readings.items(), sizes or range(1, WINDOW_WORDS + 1)):
+                for (kind, (tokens, slot)), size in product(read.items(), sizes or range(1, WINDOW_WORDS + 1)):
                     keys, bounds = windows(tokens, first, size)
                     keys = mix(keys + np.uint64(kind))
                     of = np.repeat(np.arange(hi - lo), np.diff(bounds))
@@ -188,9 +191,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .distinct()
     )
     counts = items.groupBy(F.col("id").alias("item_id")).agg(
-        *[F.count_distinct(F.when(F.col("kind") == k, F.col("at"))).alias(f"windows{k}") for k in (TEMPLATE, LITERAL)]
+        *[F.count_distinct(F.when(F.col("kind") == k, F.col("at"))).alias(f"windows{k}") for k in (TEMPLATE, NAMED, LITERAL)]
     )
-    windows_of = F.when(F.col("kind") == LITERAL, F.col(f"windows{LITERAL}")).otherwise(F.col(f"windows{TEMPLATE}"))
+    windows_of = F.coalesce(*[F.when(F.col("kind") == k, F.col(f"windows{k}")) for k in (TEMPLATE, NAMED, LITERAL)])
     aligned = (
         matches.select(*place, (F.col("doc_at") - F.col("at")).alias("shift"), "at")
         .join(paired, [*place, "shift"], "left_anti")

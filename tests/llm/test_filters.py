@@ -98,6 +98,14 @@ def test_verbatim_copies_of_numbers_and_names_are_found(spark):
     assert found_leaks(spark, docs, items) == {(0, 0), (1, 1), (2, 2)}
 
 
+def test_names_are_found_where_sentences_begin(spark):
+    item = "Tom has 5 apples. Tom eats 2. How many are left?"
+    copy = "Seven blue whales swim north today"
+    docs = [item.replace("Tom", "Ann"), f"so ({item.replace('Tom', 'Jim')})", "Ann has 5 apples. Jim eats 2. How many are left?"]
+    # The last one gives one name of the item two values.
+    assert found_leaks(spark, [*docs, f'he said "{copy}" once'], [item, copy]) == {(0, 0), (1, 0), (3, 1)}
+
+
 def test_leaks_of_awkward_rows(spark, awkward, no_docs):
     items = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(20, 50)))], "item_id long, text string")
     assert {(r.doc_id, r.item_id) for r in decontamination.leaks(awkward, items).collect()} == {(1, 1), (2, 1)}
