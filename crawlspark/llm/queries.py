@@ -101,9 +101,9 @@ SENTENCEPIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str = SENTENCEPIECE_MODEL) -> DataFrame:
-    """Sampled segmentations of every document: their sizes, probabilities and inclusion scores."""
+    """Sampled segmentations of every document: their ids, sizes, probabilities and inclusion scores."""
     vocabulary = segmentation.Vocabulary.load(model)
-    return segmentation.sampled_segmentations(table(spark, sf_dir, "documents"), vocabulary, with_ids=False)
+    return segmentation.sampled_segmentations(table(spark, sf_dir, "documents"), vocabulary)
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

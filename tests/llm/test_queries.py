@@ -7,8 +7,9 @@ import pytest
 
 import corpus_pipeline
 from check_oracle import TABLES, normal
+from crawlspark.llm import segmentation
 from crawlspark.llm.oracle import ORACLE
-from crawlspark.llm.queries import QUERIES
+from crawlspark.llm.queries import QUERIES, SENTENCEPIECE_MODEL
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +52,14 @@ def test_classifier_on_documents_held_out(spark, sf_dir):
     assert len(seen) > 20 and (seen.predicted == seen.quality).mean() > 0.95
 
 
+def test_segmentations_hold_the_ids_of_every_document(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(50).cache()
+    found = QUERIES["op6_sentencepiece"](spark, sf_dir).join(docs.select("doc_id"), "doc_id", "left_semi")
+    vocabulary = segmentation.Vocabulary.load(SENTENCEPIECE_MODEL)
+    spelled = {(r.doc_id, r.text) for r in segmentation.decoded(found, vocabulary).select("doc_id", "text").collect()}
+    assert spelled == {(r.doc_id, r.text or "") for r in docs.collect()}
+
+
 def plain(text):
     return re.findall(r"[^\W_]+", (text or "").lower())
 
