@@ -16,10 +16,14 @@ from crawlspark.workspace import Scratch
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = "://([^/?#]*)([^?#]*)([^#]*)"
-_CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+_CANONICAL = (
+    r"(?is)<link\b[^>]*[\s\"']rel\s*=\s*(?:\"(?:[^\">]*\s)?canonical(?:\s[^\">]*)?\"|'(?:[^'>]*\s)?canonical(?:\s[^'>]*)?'"
+    r"|canonical(?=[\s>/]))[^>]*>"
+)
+_REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?\s*refresh\b[^>]*>"
+_HREF = r"(?is)[\s\"']href\s*=\s*[\"']?\s*([^\"'\s>]+)"
 _REFRESH_URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+_REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&amp;": "&"}
 
 
 def _part(url: Column, number: int) -> Column:
@@ -48,29 +52,67 @@ def normal_form(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(url, target) of the canonical link and the refresh redirect of each page (url, html).
+def _decoded(link: Column) -> Column:
+    """``link`` with its character references decoded: those of ``_REFERENCES``, and numeric ones of ASCII."""
 
-    Targets may be absolute, or begin with ``//`` or ``/``; others are no links here.
-    """
-    html, scheme = F.col("html"), F.regexp_extract("url", "^([^:/?#]+)://", 1)
-    canonical = F.when(
-        F.contains(F.lower("html"), F.lit("canonical")),
-        F.regexp_extract(F.regexp_extract(html, _CANONICAL, 0), _HREF, 1),
-    )
-    refresh = F.when(
-        F.contains(F.lower("html"), F.lit("refresh")),
-        F.regexp_extract(F.regexp_extract(html, _REFRESH, 0), _REFRESH_URL, 1),
-    )
-    found = pages.where("url is not null and html is not null").select(
-        "url", scheme.alias("scheme"), F.explode(F.array(canonical, refresh)).alias("link")
+    def replaced(form: str, base: int):
+        def one(text: Column, number: Column) -> Column:
+            code = F.conv(number, base, 10).cast("int")
+            whole = F.concat(F.lit(form), number, F.lit(";"))
+            return F.when(code.between(33, 126), F.replace(text, whole, F.char(code))).otherwise(text)
+
+        return one
+
+    link = F.regexp_replace(F.regexp_replace(link, "&#X", "&#x"), "&#(38|x26);", "&amp;")
+    for pattern, form, base in (("&#([0-9]{1,3});", "&#", 10), ("&#x([0-9A-Fa-f]{1,2});", "&#x", 16)):
+        numbers = F.array_distinct(F.regexp_extract_all(link, F.lit(pattern), F.lit(1)))
+        link = F.aggregate(numbers, link, replaced(form, base))
+    for name, value in _REFERENCES.items():
+        link = F.replace(link, F.lit(name), F.lit(value))
+    return link
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without its segments ``.`` and ``..``."""
+    kept = F.aggregate(
+        F.split(F.substr(path, F.lit(2)), "/"),
+        F.array().cast("array<string>"),
+        lambda stack, part: F.when(part == "..", F.slice(stack, F.lit(1), F.greatest(F.size(stack) - 1, F.lit(0))))
+        .when(part == ".", stack)
+        .otherwise(F.concat(stack, F.array(part))),
     )
-    target = (
-        F.when(F.contains("link", F.lit("://")), F.col("link"))
-        .when(F.startswith("link", F.lit("//")), F.concat("scheme", F.lit(":"), "link"))
-        .when(F.startswith("link", F.lit("/")), F.concat("scheme", F.lit("://"), host_of(F.col("url")), "link"))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolved(url: Column, link: Column) -> Column:
+    """The URL that ``link`` names on the page ``url``; null for a fragment, and for a scheme without a host such as mailto."""
+    scheme, host, path = F.regexp_extract(url, "^([^:/?#]+)://", 1), host_of(url), path_of(url)
+    root = F.when((scheme != "") & (host != ""), F.concat(scheme, F.lit("://"), host))
+    own, rest = F.regexp_extract(link, "^[^?#]*", 0), F.regexp_extract(link, "[?#].*$", 0)
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    folder = F.when(folder == "", F.lit("/")).otherwise(folder)
+    return (
+        F.when(F.rlike(link, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), F.when(F.rlike(link, F.lit("^[^:]*://")), link))
+        .when(F.startswith(link, F.lit("//")), F.concat(F.when(root.isNotNull(), scheme), F.lit(":"), link))
+        .when(F.startswith(link, F.lit("/")), F.concat(root, _without_dots(own), rest))
+        .when(F.startswith(link, F.lit("?")), F.concat(root, path, link))
+        .when(~F.startswith(link, F.lit("#")), F.concat(root, _without_dots(F.concat(folder, own)), rest))
     )
-    return found.where("link <> ''").select("url", target.alias("target")).where("target is not null")
+
+
+def page_links(pages: DataFrame) -> DataFrame:
+    """(url, target) of the canonical links and the refresh redirects of each page (url, html), resolved against its URL."""
+    html = F.col("html")
+
+    def named(word: str, tag: str, link: str) -> Column:
+        tags = F.when(F.contains(F.lower("html"), F.lit(word)), F.regexp_extract_all(html, F.lit(tag), F.lit(0)))
+        return F.coalesce(F.transform(tags, lambda t: F.regexp_extract(t, link, 1)), F.array().cast("array<string>"))
+
+    links = F.concat(named("canonical", _CANONICAL, _HREF), named("refresh", _REFRESH, _REFRESH_URL))
+    found = pages.where("url is not null and html is not null").select("url", F.explode(F.array_distinct(links)).alias("link"))
+    target = resolved(F.col("url"), F.col("link"))
+    found = found.where("link <> ''").select("url", _decoded(F.col("link")).alias("link"))
+    return found.select("url", target.alias("target")).where("target is not null")
 
 
 def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -137,6 +137,25 @@ def test_blocks_reach_aliases_but_not_allowed_ones(spark, scratch):
     assert url_filters.judged(pages.where("false"), links.where("false"), rules, scratch).count() == 0
 
 
+def test_links_are_resolved_against_their_page(spark):
+    html = {
+        '<link rel=canonical href="page.html">': "http://h.test/a/page.html",
+        '<link href="../x?q=1&amp;r=2" rel="canonical">': "http://h.test/x?q=1&r=2",
+        '<link rel="alternate canonical" href="?id=1">': "http://h.test/a/b?id=1",
+        '<link rel="canonical" href="/out?u=https://x/">': "http://h.test/out?u=https://x/",
+        '<link rel="canonical" href="//o.test/&#x7e;a&#45;b">': "http://o.test/~a-b",
+        '<meta http-equiv="refresh" content="0; url=./c/../d">': "http://h.test/a/d",
+        '<link rel="canonical" href="mailto:a@b"><link rel="canonical" href="#top">': None,
+    }
+    rows = [("http://h.test/a/b?z=1", text) for text in html] + [("http://h.test/a/b", "".join(html)), ("none", "".join(html))]
+    for (url, text), expected in zip(rows, html.values()):
+        found = url_filters.page_links(spark.createDataFrame([(url, text)], "url string, html string")).collect()
+        assert [r.target for r in found] == ([expected] if expected else []), text
+    found = url_filters.page_links(spark.createDataFrame(rows[-2:-1], "url string, html string")).collect()
+    assert {r.target for r in found} == {v for v in html.values() if v}
+    assert url_filters.page_links(spark.createDataFrame(rows[-1:], "url string, html string")).count() == 0
+
+
 def test_the_longest_rule_wins(spark):
     rules = spark.createDataFrame(
         [("org", "/", "allow"), ("x.org", "/a/", "block"), ("x.org", "/a/", "allow"), ("y.org", "/", "block")],
