@@ -177,6 +177,62 @@ sums AS (SELECT doc_id, sum(s) AS s FROM scores GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_tokens, round(coalesce(s, 0), 3) AS log_score FROM split LEFT JOIN sums USING (doc_id)
 """
 
+#: Shortest edits row by row: per conversation and last initial the least (cost, audit), then up to two insertions.
+CONVERSATION_REPAIR = r"""
+WITH RECURSIVE kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda x: ascii(x)::BIGINT), lambda c, b: list_reduce(range(0, 8), lambda d, i:
+        CASE WHEN d % 2 = 1 THEN xor(d >> 1, 3988292384::BIGINT) ELSE d >> 1 END, xor(c, b)), 4294967295::BIGINT),
+      4294967295::BIGINT) % 20 AS kind FROM conversations),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM kinds WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM damaged),
+faulty AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) || substr(role, 1, 1) AS pair
+  FROM placed),
+counts AS (
+  SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faulty GROUP BY conv_id),
+enter(prior, initial, role) AS (VALUES ('', 's', NULL), ('', 'u', 'user'), ('s', 'u', 'user'), ('a', 'u', 'user'), ('u', 'a', 'assistant')),
+edits AS (
+  SELECT conv_id, i, prior, prior AS last, {'cost': 4, 'audit': 'D', 'lines': []::VARCHAR[]} AS edit
+  FROM faulty, (VALUES (''), ('s'), ('u'), ('a')) AS t(prior)
+  UNION ALL
+  SELECT conv_id, i, prior, enter.initial, {'cost': CASE fault WHEN 'truncated' THEN 3 ELSE 0 END, 'audit': 'K', 'lines': [faulty.role || ':' || text]}
+  FROM faulty JOIN enter USING (initial) WHERE fault NOT IN ('blank', 'duplicate')
+  UNION ALL
+  SELECT conv_id, i, prior, enter.initial, {'cost': CASE fault WHEN 'truncated' THEN 6 ELSE 3 END, 'audit': 'R', 'lines': [enter.role || ':' || text]}
+  FROM faulty, enter WHERE enter.role IS NOT NULL AND fault NOT IN ('blank', 'duplicate')),
+inserts AS (
+  SELECT '' AS prior, '' AS last, {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} AS edit
+  UNION ALL SELECT unnest(['s', 'u', 'a']), unnest(['s', 'u', 'a']), {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]}
+  UNION ALL SELECT prior, initial, {'cost': 3, 'audit': 'I', 'lines': [role || ':']} FROM enter WHERE role IS NOT NULL
+  UNION ALL SELECT x.prior, y.initial, {'cost': 6, 'audit': 'II', 'lines': [x.role || ':', y.role || ':']}
+    FROM enter x JOIN enter y ON y.prior = x.initial WHERE x.role IS NOT NULL),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS i, last, edit AS best FROM counts, inserts WHERE prior = ''
+  UNION ALL
+  SELECT walk.conv_id, walk.i + 1, inserts.last, min({'cost': best.cost + edits.edit.cost + inserts.edit.cost,
+    'audit': best.audit || edits.edit.audit || inserts.edit.audit,
+    'lines': list_concat(best.lines, list_concat(edits.edit.lines, inserts.edit.lines))})
+  FROM walk JOIN edits ON edits.conv_id = walk.conv_id AND edits.i = walk.i + 1 AND edits.prior = walk.last
+    JOIN inserts ON inserts.prior = edits.last GROUP BY walk.conv_id, walk.i, inserts.last),
+ends AS (
+  SELECT walk.conv_id, min(best) AS best FROM walk JOIN counts ON counts.conv_id = walk.conv_id AND walk.i = n
+  WHERE last IN ('', 'a') GROUP BY walk.conv_id)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN ends USING (conv_id)
+"""
+
 ORACLE = {
     "op1_url_filters": URL_FILTERS,
     "op2_lm_scoring": LM_SCORING,
@@ -184,4 +240,5 @@ ORACLE = {
     "op7_html_extraction": HTML_EXTRACTION,
     "op8_quality_rules": QUALITY_RULES,
     "op10_near_dedup": NEAR_DEDUP,
+    "op11_conversation_repair": CONVERSATION_REPAIR,
 }

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlspark.llm import (
+    conversation_repair,
     decontamination,
     html_extraction,
     lm_scoring,
@@ -130,6 +131,12 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark), shingle_words=4)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every conversation, from messages with planted faults."""
+    messages = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.digested(conversation_repair.repaired(messages, Scratch(spark)))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -143,5 +150,6 @@ QUERIES = {
         op8_quality_rules,
         op9_decontamination,
         op10_near_dedup,
+        op11_conversation_repair,
     )
 }
