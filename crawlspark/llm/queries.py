@@ -13,6 +13,7 @@ from crawlspark.llm import (
     quality_rules,
     segmentation,
     sharding,
+    toxicity,
     url_filters,
     zstd_warc,
 )
@@ -137,6 +138,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digested(conversation_repair.repaired(messages, Scratch(spark)))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from the labels that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit_toxicity(docs.where(~held_out()), labels, Scratch(spark))
+    return toxicity.with_toxicity(docs, model, keep=["doc_id"], passages=False).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -151,5 +161,6 @@ QUERIES = {
         op9_decontamination,
         op10_near_dedup,
         op11_conversation_repair,
+        op13_toxicity,
     )
 }
