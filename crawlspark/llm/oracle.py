@@ -233,6 +233,39 @@ SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce
 FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN counts USING (conv_id) LEFT JOIN ends USING (conv_id)
 """
 
+#: Shares and prices in exact 128-bit integers, every kept term for every group.
+SOURCE_DIVERGENCE = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+tokens AS (
+  SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs),
+kept AS (SELECT lang, term, count(*) AS n FROM tokens GROUP BY lang, term HAVING count(DISTINCT d) >= 3),
+held AS (SELECT lang, source, term, count(*) AS n FROM tokens JOIN kept USING (lang, term) GROUP BY lang, source, term),
+groups AS (SELECT DISTINCT lang, source FROM docs),
+sizes AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+totals AS (SELECT lang, source, sum(n) AS total FROM held GROUP BY lang, source),
+shares AS (
+  SELECT groups.lang, groups.source, kept.term, coalesce(held.n, 0) AS n,
+    1 + 1000000000::HUGEINT * (coalesce(held.n, 0) + 1) // (coalesce(totals.total, 0) + v) AS p,
+    1 + 1000000000::HUGEINT * (kept.n + 1) // (sizes.total + v) AS q
+  FROM groups JOIN kept ON kept.lang = groups.lang JOIN sizes ON sizes.lang = groups.lang
+    LEFT JOIN totals ON totals.lang = groups.lang AND totals.source = groups.source
+    LEFT JOIN held ON held.lang = groups.lang AND held.source = groups.source AND held.term = kept.term),
+pairs AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value
+  FROM shares x JOIN shares y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL),
+found AS (
+  SELECT x.lang, x.source, 'pair' AS part, y.source AS item, coalesce(value, 0) AS value
+  FROM groups x JOIN groups y ON y.lang = x.lang AND y.source <> x.source
+    LEFT JOIN pairs ON pairs.lang = x.lang AND pairs.source = x.source AND pairs.item = y.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, part, item, value::BIGINT AS value,
+    row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
 ORACLE = {
     "op1_url_filters": URL_FILTERS,
     "op2_lm_scoring": LM_SCORING,
@@ -241,4 +274,5 @@ ORACLE = {
     "op8_quality_rules": QUALITY_RULES,
     "op10_near_dedup": NEAR_DEDUP,
     "op11_conversation_repair": CONVERSATION_REPAIR,
+    "op12_source_divergence": SOURCE_DIVERGENCE,
 }

@@ -13,6 +13,7 @@ from crawlspark.llm import (
     quality_rules,
     segmentation,
     sharding,
+    source_divergence,
     toxicity,
     url_filters,
     zstd_warc,
@@ -138,6 +139,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digested(conversation_repair.repaired(messages, Scratch(spark)))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The divergence of the sources of each language from one another, and the terms each has more of than its language."""
+    return source_divergence.divergences(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from the labels that are not held out."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -161,6 +167,7 @@ QUERIES = {
         op9_decontamination,
         op10_near_dedup,
         op11_conversation_repair,
+        op12_source_divergence,
         op13_toxicity,
     )
 }

@@ -21,7 +21,7 @@ def db(sf_dir):
 
 
 def test_there_is_one_query_for_each_operator():
-    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES) == list(range(1, 14))
     assert set(ORACLE) < set(QUERIES)
     assert len(corpus_pipeline.STAGES) == 5
 
