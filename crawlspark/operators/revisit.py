@@ -179,7 +179,12 @@ def rewrite_revisits(records: DataFrame, settings: ArchiveSettings) -> DataFrame
 
 def index_rows(decided: DataFrame) -> DataFrame:
     """Dedup index rows that this input adds."""
-    return decided.where("registers").select(
+    return candidate_rows(decided.where("registers"))
+
+
+def candidate_rows(keyed: DataFrame) -> DataFrame:
+    """The dedup index row that each record with a revisit key would have."""
+    return keyed.where("revisit_key IS NOT NULL").select(
         F.col("revisit_key").alias("digest"),
         "warc_id",
         "target_uri",

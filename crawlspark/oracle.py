@@ -526,6 +526,10 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT revisit_key, warc_id, target_uri, strftime(fetch_ts, {STAMP}) FROM refirsts
         WHERE revisit_key NOT IN (SELECT revisit_key FROM firsts)""",
     ),
+    "crawled_merge": over(
+        "firsts",
+        f"""SELECT revisit_key AS digest, warc_id, target_uri, strftime(fetch_ts, {STAMP}) AS date FROM firsts""",
+    ),
     "revisit_detect": DECISIONS,
     "revisit_documents": _documents(),
     "revisit_records": over(

@@ -173,8 +173,8 @@ def archive_batch(
     dedup rows of earlier batches only and overwrites what it wrote before.
     """
     scratch = Scratch(spark, f"{path}/plan/batch={batch}")
-    known = crawled_index.read_index(spark, f"{path}/crawled", before_batch=batch)
-    decided = decided_records(keyed, settings, scratch, crawled_index.relevant(known, keyed))
+    known = crawled_index.known_rows(spark, f"{path}/crawled", keyed, before_batch=batch)
+    decided = decided_records(keyed, settings, scratch, known)
     used = read_numbers(spark, path, batch)
     placed = scratch.keep(placed_records(decided, settings, scratch, used), "placed")
     files.last_numbers(placed).write.mode("overwrite").parquet(f"{path}/numbers/batch={batch}")

@@ -434,8 +434,11 @@ def q_crawled_lookup(spark, sf_dir):
     decided = decided_events(spark, sf_dir, scratch)
     config = inputs.collection_config(spark, sf_dir)
     probes = archive.keyed_records(recrawled_events(spark, sf_dir), config, SETTINGS, scratch)
+    path, rows = shared_dir(spark, "crawled"), revisit.index_rows(decided)
+    for batch in range(2):
+        crawled_index.append_batch(rows.where(F.col("request_id") % 2 == batch), path, batch)
     found = crawled_index.lookup(
-        probes.where("revisit_key IS NOT NULL"), revisit.index_rows(decided), SETTINGS.salts
+        probes.where("revisit_key IS NOT NULL"), crawled_index.known_rows(spark, path, probes), SETTINGS.salts
     )
     return found.select(*RECORD, "revisit_key", F.col("found.warc_id").alias("warc_id"))
 
@@ -456,6 +459,19 @@ def q_crawled_insert(spark, sf_dir):
     )
 
 
+@query
+def q_crawled_merge(spark, sf_dir):
+    """Twelve batches of candidate rows, two of them repeated; runs are merged in between."""
+    path, candidates = shared_dir(spark, "crawled"), revisit.candidate_rows(keyed_events(spark, sf_dir, Scratch(spark)))
+    for batch, rows in enumerate(_by_request(candidates, 12)):
+        for _ in range(2 if batch in (3, 10) else 1):
+            known = crawled_index.read_index(spark, path, before_batch=batch)
+            crawled_index.append_batch(crawled_index.new_rows(rows, known), path, batch)
+    return crawled_index.read_index(spark, path).select(
+        "digest", "warc_id", "target_uri", text(F.col("date")).alias("date")
+    )
+
+
 def _decisions(decided: DataFrame) -> DataFrame:
     return decided.select(
         *RECORD,
@@ -646,11 +662,11 @@ def _feed(slices: list[DataFrame], source: str, start: Callable) -> None:
         start().awaitTermination()
 
 
-def _by_request(rows: DataFrame) -> list[DataFrame]:
+def _by_request(rows: DataFrame, slices: int = STREAM_SLICES) -> list[DataFrame]:
     """All rows, cut into consecutive ranges of request ids."""
     last = rows.agg(F.max("request_id")).first()[0] or 0
-    part = F.expr(f"request_id * {STREAM_SLICES} div {last + 1}")
-    return [rows.where(part == number) for number in range(STREAM_SLICES)]
+    part = F.expr(f"request_id * {slices} div {last + 1}")
+    return [rows.where(part == number) for number in range(slices)]
 
 
 @query

@@ -21,8 +21,8 @@ def decide_batch(
     same, and it overwrites what it registered before.
     """
     spark = keyed.sparkSession
-    index = crawled_index.read_index(spark, f"{path}/crawled", before_batch=batch)
-    decided = archive.decided_records(keyed, settings, scratch, crawled_index.relevant(index, keyed))
+    known = crawled_index.known_rows(spark, f"{path}/crawled", keyed, before_batch=batch)
+    decided = archive.decided_records(keyed, settings, scratch, known)
     crawled_index.append_batch(revisit.index_rows(decided), f"{path}/crawled", batch)
     return decided
 

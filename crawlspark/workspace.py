@@ -58,3 +58,37 @@ def qualified(spark: SparkSession, path: str) -> str:
     """``path`` with the scheme of the file system Spark would use for it."""
     hadoop_path, file_system = _on_file_system(spark, path)
     return hadoop_path.makeQualified(file_system.getUri(), file_system.getWorkingDirectory()).toString()
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder that holds few; none if there is no such folder."""
+    hadoop_path, file_system = _on_file_system(spark, path)
+    if not file_system.exists(hadoop_path):
+        return []
+    return sorted(status.getPath().getName() for status in file_system.listStatus(hadoop_path))
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    hadoop_path, file_system = _on_file_system(spark, path)
+    stream = file_system.open(hadoop_path)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there whole or not at all: written under another name, then renamed over the old one."""
+    folder, name = path.rsplit("/", 1)
+    hadoop_path, file_system = _on_file_system(spark, path)
+    draft, _ = _on_file_system(spark, f"{folder}/_{name}-{uuid.uuid4().hex}")
+    stream = file_system.create(draft, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    options = spark._jvm.org.apache.hadoop.fs.Options.Rename
+    overwrite = spark.sparkContext._gateway.new_array(options, 1)
+    overwrite[0] = options.OVERWRITE
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(hadoop_path.toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(draft, hadoop_path, overwrite)
