@@ -14,6 +14,7 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -32,6 +33,8 @@ SIGNIFICANT = 0.05
 #: Steps of token scores in their histogram, and of the evidence in its calibration.
 STEPS = 32
 FOLDS = 2
+#: Learning uses about so many labelled documents at most, taken by the hash of their id.
+FIT_ROWS = 40_000
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -141,11 +144,14 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 # --- learning ----------------------------------------------------------------------------
 
 
-def _tables(counts: list) -> tuple[np.ndarray, np.ndarray]:
-    toxic, known = (np.zeros(len(PREFIXES) * SLOTS) for _ in range(2))
-    for slot, ones, both in counts:
-        toxic[slot], known[slot] = ones, both
-    return toxic.reshape(-1, SLOTS), known.reshape(-1, SLOTS)
+def _tables(counts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Toxic and all words by prefix and slot, from rows of (slot, toxic, known)."""
+    out = []
+    for name in ("toxic", "known"):
+        table = np.zeros(len(PREFIXES) * SLOTS)
+        table[counts["slot"].to_numpy()] = counts[name].to_numpy()
+        out.append(table.reshape(-1, SLOTS))
+    return out[0], out[1]
 
 
 def _model(toxic: np.ndarray, known: np.ndarray) -> ToxicityModel:
@@ -183,8 +189,10 @@ def monotone_shares(counts: list[tuple[float, int, int]]) -> tuple[np.ndarray, n
     return np.array([total / rows for _, rows, total in pools]), np.maximum.accumulate(shares)
 
 
-def fit_toxicity(labelled: DataFrame, labels: DataFrame, scratch: Scratch) -> ToxicityModel:
-    """Learn from the texts of ``labelled`` (doc_id, text) that ``labels`` (doc_id, toxic) marks; all of them count.
+def fit_toxicity(
+    labelled: DataFrame, labels: DataFrame, scratch: Scratch, fit_rows: int = FIT_ROWS
+) -> ToxicityModel:
+    """Learn from the texts of ``labelled`` (doc_id, text) that ``labels`` (doc_id, toxic) marks, or a sample of about ``fit_rows``.
 
     Each distinct word of a document counts once for each of its prefixes. The law of clean segments and the calibration are fitted to
     documents scored by the words of the other fold; folds go by a hash of the text, so that exact copies share one. Tables,
@@ -194,12 +202,15 @@ def fit_toxicity(labelled: DataFrame, labels: DataFrame, scratch: Scratch) -> To
     marks = labels.where("toxic in (0, 1) and doc_id is not null").select(
         F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("label")
     ).distinct()
+    share = min(1.0, fit_rows / max(1, labelled.select(F.col("doc_id").cast("long")).join(marks, "doc_id").count()))
+    hashed = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) * F.lit(2.0**-53)
+    marks = marks.where(hashed <= share)
     wanted = bitmap(marks, "doc_id")
 
     def chosen(batches):
         for batch in batches:
             ids = batch.column(0)
-            known = pa.compute.is_valid(ids).to_numpy(zero_copy_only=False)
+            known = pc.is_valid(ids).to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(known & may_contain(wanted, ids.fill_null(0).to_numpy())))
 
     read = labelled.select(F.col("doc_id").cast("long"), "text").mapInArrow(chosen, "doc_id long, text string")
@@ -216,19 +227,22 @@ def fit_toxicity(labelled: DataFrame, labels: DataFrame, scratch: Scratch) -> To
                 _, once = np.unique(doc * SLOTS + found.slots[-1], return_index=True)
                 for k in range(len(PREFIXES)):
                     np.add.at(totals, (part_fold[doc[once]], label[doc[once]], k * SLOTS + found.slots[k][once]), 1)
-        f, label, slot = np.nonzero(totals)
+        both = totals.sum(axis=1)
+        f, slot = np.nonzero(both)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(f), pa.array(slot), pa.array(label), pa.array(totals[f, label, slot])], names=["fold", "slot", "label", "n"]
+            [pa.array(f), pa.array(slot), pa.array(totals[f, 1, slot]), pa.array(both[f, slot])],
+            names=["fold", "slot", "toxic", "known"],
         )
 
     counts = (
         rows.select("text", "label", "fold")
-        .mapInArrow(count, "fold long, slot long, label long, n long")
+        .mapInArrow(count, "fold long, slot long, toxic long, known long")
         .groupBy("fold", "slot")
-        .agg(F.sum(F.col("n") * F.col("label")).alias("toxic"), F.sum("n").alias("known"))
-        .collect()
+        .agg(F.sum("toxic").cast("int").alias("toxic"), F.sum("known").cast("int").alias("known"))
+        .select(F.col("fold").cast("int"), F.col("slot").cast("int"), "toxic", "known")
+        .toArrow()
     )
-    parts = [_tables([(r["slot"], r["toxic"], r["known"]) for r in counts if r["fold"] == f]) for f in range(FOLDS)]
+    parts = [_tables(counts.filter(pc.equal(counts["fold"], f))) for f in range(FOLDS)]
     toxic, known = (sum(p[k] for p in parts) for k in (0, 1))
     model = _model(toxic, known)
     if not toxic[-1].any() or (toxic[-1] == known[-1]).all():
