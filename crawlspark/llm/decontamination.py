@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlspark.llm.membership import bitmap, may_contain
-from crawlspark.llm.tokens import Texts, lower_ascii, mix, slices, texts, windows, words
+from crawlspark.llm.tokens import Texts, lower_ascii, mix, slices, texts, window_hashes, window_starts, words
+from crawlspark.workspace import Scratch
 
 WINDOW_WORDS = 5
 CONTAINED_PERCENT = 80
@@ -122,12 +123,21 @@ def template_windows(rows: DataFrame, sizes: list[int] | None, wanted: np.ndarra
                 ids = batch.column(0).slice(lo, hi - lo)
                 read, values, first = readings(part, lowered(batch.column(1).slice(lo, hi - lo), part))
                 counts = np.diff(first)
-                for (kind, (tokens, slot)), size in product(read.items(), sizes or range(1, WINDOW_WORDS + 1)):
-                    keys, bounds = windows(tokens, first, size)
-                    keys = mix(keys + np.uint64(kind))
-                    of = np.repeat(np.arange(hi - lo), np.diff(bounds))
-                    place = np.arange(len(keys)) - bounds[of]
-                    begin = first[of] + place
+                # Names where a sentence begins are all that tells the first two readings apart.
+                renamed = np.concatenate([[0], np.cumsum(read[NAMED][0] != read[TEMPLATE][0])])
+                for size, kind in product(sizes or range(1, WINDOW_WORDS + 1), (TEMPLATE, NAMED, LITERAL)):
+                    tokens, slot = read[kind]
+                    if kind == TEMPLATE:
+                        begin, bounds = window_starts(first, size)
+                        of = np.repeat(np.arange(hi - lo), np.diff(bounds))
+                        place = begin - first[of]
+                        runs = window_hashes(tokens, begin, size)
+                    elif kind == NAMED:
+                        other = np.flatnonzero(renamed[begin + size] > renamed[begin])
+                        runs[other] = window_hashes(tokens, begin[other], size)
+                    else:
+                        runs = window_hashes(tokens, begin, size)
+                    keys = mix(runs + np.uint64(kind))
                     slots = np.concatenate([[0], np.cumsum(slot)])
                     literal = size - (slots[begin + size] - slots[begin])
                     use = literal >= min(LITERAL_WORDS, (size + 1) // 2)
@@ -154,7 +164,7 @@ def template_windows(rows: DataFrame, sizes: list[int] | None, wanted: np.ndarra
     return rows.mapInArrow(cut, _WINDOW)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, item_id, matched, windows): documents that hold at least 80 % of an item's windows, or all its words in order.
 
     ``matched`` counts the item's places whose window the document has in an alignment with consistent slots.
@@ -162,15 +172,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for an item without a usable template window. Null texts and items without a word match nothing. A repeated item_id stands for the
     union of its rows' places; rows that share a doc_id are one document. Rows without an id can't be named and are left out.
     """
-    items = template_windows(
-        benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text"), None
-    )
+    scratch = scratch or Scratch(docs.sparkSession)
+    tests = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("id"), "text")
+    items = scratch.keep(template_windows(tests, None), "items")
     wanted = bitmap(items.select("key").distinct(), "key")
     # Documents are cut at the lengths that windows of items have; these are at most WINDOW_WORDS values.
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect()) or [WINDOW_WORDS]
-    found = template_windows(
-        docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text"), sizes, wanted
-    )
+    # Documents are cut once; the windows that items may have are read for slots and for places.
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
+    found = scratch.keep(template_windows(named, sizes, wanted), "found")
     place = ["doc_id", "item_id", "kind"]
     theirs = [F.col("id").alias("doc_id"), "kind", "key", F.col("at").alias("doc_at"), F.col("slots").alias("theirs")]
     matches = found.select(*theirs).join(

@@ -129,10 +129,20 @@ def span_hashes(data: np.ndarray, inside: np.ndarray, starts: np.ndarray, ends:
 
 def windows(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words inside a text, and their bounds by text."""
+    at, bounds = window_starts(first, size)
+    return window_hashes(hashes, at, size), bounds
+
+
+def window_starts(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first words of all runs of ``size`` words inside a text, and their bounds by text."""
     counts = np.maximum(np.diff(first) - size + 1, 0)
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    at = np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], counts)
+    return np.arange(bounds[-1]) + np.repeat(first[:-1] - bounds[:-1], counts), bounds
+
+
+def window_hashes(hashes: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the runs of ``size`` words that begin at ``at``."""
     run = np.full(len(at), size, np.uint64)
     for k in range(size):
         run = mix(run * np.uint64(0x9E3779B97F4A7C15) + hashes[at + k])
-    return run, bounds
+    return run
