@@ -219,6 +219,63 @@ def build(vocabulary: Vocabulary, data: np.ndarray, begin: np.ndarray, end: np.n
     return Lattices(first_edge, origin, ids, share, log_share, steps, node_begin[:-1], node_begin[1:] - 1)
 
 
+#: Bytes of distinct chunks whose lattices a task keeps from slice to slice.
+KEPT_BYTES = 2 << 20
+
+
+class KeptLattices:
+    """The lattices of the chunks a task has met, so that only new chunks are built.
+
+    Node and edge numbers of later chunks go on from earlier ones. When the kept chunks would pass ``limit`` bytes, all are
+    let go, so memory is bounded by ``limit`` and one slice.
+    """
+
+    def __init__(self, limit: int = KEPT_BYTES):
+        self.limit, self.parts = limit, {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.slots, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        self.parts = {}
+
+    def of(self, vocabulary: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[Lattices, np.ndarray]:
+        """Lattices that hold all given chunks, and the number of each chunk's own in them."""
+        hashes = span_hashes(data, np.ones(len(data), bool), starts, ends)
+        keys, index, which = np.unique(hashes, return_index=True, return_inverse=True)
+        new = self._missing(keys)
+        size = int((ends - starts)[index[new]].sum())
+        if self.size and self.size + size > self.limit:
+            self.clear()
+            new = self._missing(keys)
+            size = int((ends - starts)[index[new]].sum())
+        if len(new):
+            self._add(build(vocabulary, data, starts[index[new]], ends[index[new]]))
+            slots = len(self.slots) + np.arange(len(new))
+            order = np.searchsorted(self.keys, keys[new])
+            self.keys, self.slots = np.insert(self.keys, order, keys[new]), np.insert(self.slots, order, slots)
+            self.size += size
+        return Lattices(**self.parts), self.slots[np.searchsorted(self.keys, keys)][which]
+
+    def _missing(self, keys: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        return np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
+
+    def _add(self, lat: Lattices) -> None:
+        if not self.parts:
+            self.parts = dict(vars(lat))
+            return
+        nodes, edges = len(self.parts["first_edge"]) - 1, len(self.parts["origin"])
+        moved = {
+            "first_edge": lat.first_edge[1:] + edges,
+            "origin": lat.origin + np.int32(nodes),
+            "steps": lat.steps + nodes,
+            "begin": lat.begin + nodes,
+            "end": lat.end + nodes,
+        }
+        for name, kept in self.parts.items():
+            self.parts[name] = np.concatenate([kept, moved.get(name, getattr(lat, name))])
+
+
 def _uniform(streams: np.ndarray, step: int, kind: int) -> np.ndarray:
     """Numbers in (0, 1), a function of their arguments alone."""
     x = mix(streams + np.uint64((2 * step + kind + 1) * 0x632BE59BD9B4E019 % (1 << 64)))
@@ -322,7 +379,9 @@ def _siblings(lat, log, base, doc, first, last, streams, bound, floor, wanted):
     return found, cut
 
 
-def sample(vocabulary: Vocabulary, part: Texts, seeds: np.ndarray, samples: int) -> list[tuple[list[_Sample], float]]:
+def sample(
+    vocabulary: Vocabulary, part: Texts, seeds: np.ndarray, samples: int, kept: KeptLattices | None = None
+) -> list[tuple[list[_Sample], float]]:
     """For each text its samples, best first, and the perturbed value of the next one (-inf if there is none)."""
     vocabulary.prepare()
     data, starts, first = chunks(part)
@@ -330,9 +389,7 @@ def sample(vocabulary: Vocabulary, part: Texts, seeds: np.ndarray, samples: int)
     if not len(starts):
         return [([_Sample(np.zeros(0, np.int32), 0.0, 0.0)], -np.inf)] * docs
     ends = np.append(starts[1:], len(data))
-    inside = np.ones(len(data), bool)
-    _, index, which = np.unique(span_hashes(data, inside, starts, ends), return_index=True, return_inverse=True)
-    lat = build(vocabulary, data, starts[index], ends[index])
+    lat, which = (kept or KeptLattices()).of(vocabulary, data, starts, ends)
     begin, end = lat.begin[which], lat.end[which]
     own = np.repeat(np.arange(docs), np.diff(first))
     place = (np.arange(len(starts)) - first[own]).astype(np.uint64)
@@ -419,11 +476,12 @@ def sampled_segmentations(
     salt = mix(np.array([seed], np.uint64))
 
     def encode(batches):
+        kept = KeptLattices()
         for batch in batches:
             ids = batch.column(0)
             known = mix(ids.fill_null(-1).to_numpy().astype(np.int64).view(np.uint64) ^ salt)
             for lo, hi, part in slices(batch.column(1), SLICE_BYTES):
-                found = sample(sent.value, part, known[lo:hi], samples)
+                found = sample(sent.value, part, known[lo:hi], samples, kept)
                 flat = [(d, k, s, after) for d, (own, after) in enumerate(found) for k, s in enumerate(own)]
                 whole = part.data.tobytes()
                 sizes = [len(s.ids) for _, _, s, _ in flat]
