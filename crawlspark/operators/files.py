@@ -80,20 +80,25 @@ def with_volume(records: DataFrame, size: str) -> DataFrame:
     return placed.withColumn("volume", volume.cast("long"))
 
 
-def number_files(placed: DataFrame) -> DataFrame:
-    """Adds ``serial`` and ``offset``: the file of a record and its place in it.
+def number_files(placed: DataFrame, clock: str = "fetch_ts") -> DataFrame:
+    """Adds ``serial``, ``file_number`` and ``offset``: the file of a record and its place in it.
 
-    Serials count the files of a lane from 1 without gaps.
+    Serials count the files of a lane from 1 without gaps. Numbers count those of a collection final name,
+    over its rotation buckets and lanes, as the name of a file has to tell all of them apart. A file is ``opened`` at the least ``clock``
+    of its records, which is also what its rotation bucket is taken from.
     """
     files = placed.groupBy(*LANE, "volume").agg(
         F.min("start").alias("file_start"),
-        F.min("fetch_ts").alias("opened"),
+        F.min(clock).alias("opened"),
+        F.min("collection_final_name").alias("name"),
         F.lit(1).alias("one"),
     )
     # One level of pages is enough: a lane has fewer than 2^40 volumes.
     numbered = running_total(files, LANE, "volume", "one", "earlier", levels=1)
+    # A window by name sees a narrow row per file.
+    number = F.row_number().over(Window.partitionBy("name").orderBy("file_group", "volume", "lane"))
     numbered = numbered.select(
-        *LANE, "volume", "file_start", "opened", (F.col("earlier") + 1).alias("serial")
+        *LANE, "volume", "file_start", "opened", (F.col("earlier") + 1).alias("serial"), number.cast("long").alias("file_number")
     )
     return (
         placed.join(numbered, [*LANE, "volume"])
@@ -103,15 +108,11 @@ def number_files(placed: DataFrame) -> DataFrame:
 
 
 def with_file_name(records: DataFrame, settings: ArchiveSettings, used: DataFrame | None = None) -> DataFrame:
-    """Adds ``file_number`` and ``file_name``; lanes take turns in the numbering, so names differ.
-
-    Numbers start behind the ones ``used`` (collection_final_name, used) so far.
-    """
-    number = (F.col("serial") - 1) * settings.pool_size + F.col("lane") + 1
+    """Adds ``file_name``; numbers start behind the ones ``used`` (collection_final_name, used) so far."""
+    numbered = records
     if used is not None:
-        records = records.join(used, "collection_final_name", "left")
-        number = number + F.coalesce("used", F.lit(0))
-    numbered = records.withColumn("file_number", number).drop("used")
+        number = F.col("file_number") + F.coalesce("used", F.lit(0))
+        numbered = records.join(used, "collection_final_name", "left").withColumn("file_number", number).drop("used")
     return numbered.withColumn(
         "file_name",
         file_name(

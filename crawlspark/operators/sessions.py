@@ -247,13 +247,23 @@ def session_status(outcomes: DataFrame, validated: DataFrame) -> DataFrame:
     )
 
 
-def accepted_records(described: DataFrame, validated: DataFrame) -> DataFrame:
-    """Records of valid sessions, ready for the revisit decision.
+def last_values(messages: DataFrame, names: list[str]) -> DataFrame:
+    """Per session the values that its last message has in some columns; nulls don't count."""
+    last = [F.max_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name) for name in dict.fromkeys(names)]
+    return messages.groupBy("request_id").agg(*last)
+
+
+def accepted_records(described: DataFrame, validated: DataFrame, arrivals: DataFrame | None = None) -> DataFrame:
+    """Records of valid sessions, ready for the revisit decision, with the columns of ``arrivals`` if there are any.
 
     Declared digests are kept; a missing one is replaced by the computed one.
     """
     sessions = validated.where("error IS NULL").drop("error")
+    ingested = [name for name in arrivals.columns if name != "request_id"] if arrivals is not None else []
+    if ingested:
+        sessions = sessions.join(arrivals, "request_id")
     return described.join(sessions, "request_id").select(
+        *ingested,
         "request_id",
         "record_num",
         "record_type",

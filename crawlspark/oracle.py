@@ -177,7 +177,7 @@ TABLES = {
             ON r.request_id = s.request_id AND r.record_num <> s.record_num))""",
     "offsets": offsets_of("headed", "stored_size"),
     "named": f"""SELECT *, {INFO_BODY} AS body FROM (SELECT *, cfn||'-'||strftime(opened,'%Y%m%d%H%M%S')||'-'
-        ||printf('%04d', (serial - 1) * 2 + lane + 1)||'-host0.warc'||CASE WHEN compress THEN '.gz' ELSE '' END AS file_name
+        ||printf('%04d', dense_rank() OVER (PARTITION BY cfn ORDER BY file_group, volume, lane))||'-host0.warc'||CASE WHEN compress THEN '.gz' ELSE '' END AS file_name
         FROM offsets)""",
     "placed": f"""SELECT *, CASE WHEN NOT compress THEN 'warcfile:'||file_name||':'||("offset" + {octets('info')}) END AS storage_ref
         FROM (SELECT *, {INFO_RECORD} AS info FROM named)""",
@@ -562,6 +562,7 @@ ORACLE: dict[str, str] = {
     "reply_map": over("placed", "SELECT request_id, record_num, record_type, storage_ref FROM placed"),
     "message_index": _message_index(),
     "archive_batches": f"""SELECT request_id, record_num, true AS is_unique, true AS intact FROM ({_message_index()})""",
+    "archive_ingest_clock": f"""SELECT request_id, record_num, true AS is_unique, true AS intact FROM ({_message_index()})""",
     "warc_write": over(
         "rewritten",
         """SELECT request_id, record_num, record_type, block_digest, upper(block_sha1) AS block_sha1, size,

@@ -72,7 +72,7 @@ def file_offsets(
     """Records with file serial and offset, counting ``size`` bytes per record."""
     laned = files.with_lane(decided, settings.pool_size)
     volumes = scratch.keep(files.with_volume(laned, size), "volumes")
-    return files.number_files(volumes)
+    return files.number_files(volumes, settings.clock)
 
 
 def write_index(placed: DataFrame, stored: bool = False) -> DataFrame:
@@ -123,8 +123,10 @@ class Sessions:
     def statuses(self) -> DataFrame:
         return sessions.session_status(self.outcomes, self.validated)
 
+    arrivals: DataFrame | None = None
+
     def accepted(self) -> DataFrame:
-        return sessions.accepted_records(self.described, self.validated)
+        return sessions.accepted_records(self.described, self.validated, self.arrivals)
 
 
 def read_sessions(
@@ -133,7 +135,8 @@ def read_sessions(
     """Sessions assembled and validated.
 
     The message bytes are read once, by the assembly; all checks work on its
-    narrow result.
+    narrow result. A clock or an order of arrival other than what the metadata has are
+    columns of the messages; a session has those of its last message.
     """
     records = scratch.keep(assembly.assemble_records(messages), "assembled")
     metas = scratch.keep(sessions.last_meta(messages), "metas")
@@ -144,7 +147,9 @@ def read_sessions(
     validated = sessions.validate_sessions(
         outcomes, metas, sessions.session_records(records), faults, config
     )
-    return Sessions(records, metas, described, outcomes, validated)
+    ingested = [name for name in (settings.clock, settings.order) if name not in (None, "fetch_ts", "request_id")]
+    arrivals = sessions.last_values(messages, ingested) if ingested else None
+    return Sessions(records, metas, described, outcomes, validated, arrivals)
 
 
 def write_archive(
@@ -182,7 +187,7 @@ def archive_batch(
     delete_dir(spark, f"{path}/warc/batch={batch}")
     index = write_archive(placed, chunks, f"{path}/warc/batch={batch}", settings)
     index.write.mode("overwrite").parquet(f"{path}/index/batch={batch}")
-    crawled_index.append_batch(revisit.index_rows(decided), f"{path}/crawled", batch)
+    crawled_index.append_batch(revisit.index_rows(decided), f"{path}/crawled", batch, settings.index_buckets)
     delete_dir(spark, scratch.path)
 
 

@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 from dataclasses import replace
-from functools import wraps
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +27,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 # Two lanes show that lanes of one file group do not collide.
-SETTINGS = ArchiveSettings(pool_size=2)
+SETTINGS = ArchiveSettings(pool_size=2, index_buckets=4)
 RECORD = ["request_id", "record_num"]
 STREAM_SLICES = 4
 
@@ -436,7 +436,7 @@ def q_crawled_lookup(spark, sf_dir):
     probes = archive.keyed_records(recrawled_events(spark, sf_dir), config, SETTINGS, scratch)
     path, rows = shared_dir(spark, "crawled"), revisit.index_rows(decided)
     for batch in range(2):
-        crawled_index.append_batch(rows.where(F.col("request_id") % 2 == batch), path, batch)
+        crawled_index.append_batch(rows.where(F.col("request_id") % 2 == batch), path, batch, SETTINGS.index_buckets)
     found = crawled_index.lookup(
         probes.where("revisit_key IS NOT NULL"), crawled_index.known_rows(spark, path, probes), SETTINGS.salts
     )
@@ -453,7 +453,7 @@ def q_crawled_insert(spark, sf_dir):
     second = scratch.keep(revisit.index_rows(revisit.detect_revisits(keyed, SETTINGS.salts)), "second")
     for batch, rows in [(0, first), (1, second), (0, first), (1, second)]:
         known = crawled_index.read_index(spark, path, before_batch=batch)
-        crawled_index.append_batch(crawled_index.new_rows(rows, known), path, batch)
+        crawled_index.append_batch(crawled_index.new_rows(rows, known), path, batch, SETTINGS.index_buckets)
     return crawled_index.read_index(spark, path).select(
         "digest", "warc_id", "target_uri", text(F.col("date")).alias("date")
     )
@@ -466,7 +466,7 @@ def q_crawled_merge(spark, sf_dir):
     for batch, rows in enumerate(_by_request(candidates, 12)):
         for _ in range(2 if batch in (3, 10) else 1):
             known = crawled_index.read_index(spark, path, before_batch=batch)
-            crawled_index.append_batch(crawled_index.new_rows(rows, known), path, batch)
+            crawled_index.append_batch(crawled_index.new_rows(rows, known), path, batch, SETTINGS.index_buckets)
     return crawled_index.read_index(spark, path).select(
         "digest", "warc_id", "target_uri", text(F.col("date")).alias("date")
     )
@@ -595,12 +595,32 @@ def q_archive_batches(spark, sf_dir):
         accepted = archive.read_sessions(own, config, SETTINGS, scratch).accepted()
         keyed = archive.key_records(accepted, SETTINGS, scratch)
         archive.archive_batch(spark, keyed, assembly.record_chunks(own), path, batch, SETTINGS)
-    back = [warc_sink.read_back(spark, f"{path}/warc/batch={batch}") for batch in (0, 1)]
+    return _read_back(spark, path, 2)
+
+
+@query
+def q_archive_ingest_clock(spark, sf_dir):
+    """The same with buckets and file names by the time of ingestion, out of the order of request ids."""
+    config, path = inputs.collection_config(spark, sf_dir), shared_dir(spark, "archive")
+    arrived = F.col("request_id") * 7919 % 10007
+    messages = inputs.event_messages(spark, sf_dir).withColumns(
+        {"arrived": arrived, "received": F.timestamp_seconds(F.lit(1_714_903_200) + arrived * 7 + F.coalesce("seq", F.lit(0)) % 2)}
+    )
+    settings, scratch = replace(SETTINGS, clock="received", order="arrived"), Scratch(spark)
+    accepted = archive.read_sessions(messages, config, settings, scratch).accepted()
+    keyed = archive.key_records(accepted, settings, scratch)
+    archive.archive_batch(spark, keyed, assembly.record_chunks(messages), path, 0, settings)
+    return _read_back(spark, path, 1)
+
+
+def _read_back(spark: SparkSession, path: str, batches: int) -> DataFrame:
+    """For each archived record whether its reference is its own, and whether what is stored there is whole."""
+    back = [warc_sink.read_back(spark, f"{path}/warc/batch={batch}") for batch in range(batches)]
     index = spark.read.parquet(f"{path}/index").select(*RECORD, "storage_ref")
     same = digests.same_digest(F.concat(F.lit("sha1:"), "block_sha1"), F.col("block_digest"))
     twins = index.groupBy("storage_ref").agg((F.count("*") == 1).alias("is_unique"))
     return (
-        back[0].unionByName(back[1])
+        reduce(DataFrame.unionByName, back)
         .join(index, RECORD)
         .join(twins, "storage_ref")
         .select(

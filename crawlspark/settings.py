@@ -18,7 +18,8 @@ class ArchiveSettings:
     ``time_zone`` is the zone the calendar buckets follow and ``clock`` the
     timestamp column they are taken from, the fetch time or that of ingestion.
     ``order`` names a column of the records' arrival order, if request ids do
-    not grow with time.
+    not grow with time. A new dedup index gets ``index_buckets`` hash ranges, which should
+    come to about a gigabyte each at the size that is expected.
     """
 
     warc_version: str = "1.1"
@@ -29,6 +30,7 @@ class ArchiveSettings:
     salts: int = 256
     clock: str = "fetch_ts"
     order: str | None = None
+    index_buckets: int = 16
 
     def __post_init__(self):
         if self.warc_version not in REVISIT_PROFILES:

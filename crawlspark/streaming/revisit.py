@@ -23,7 +23,7 @@ def decide_batch(
     spark = keyed.sparkSession
     known = crawled_index.known_rows(spark, f"{path}/crawled", keyed, before_batch=batch)
     decided = archive.decided_records(keyed, settings, scratch, known)
-    crawled_index.append_batch(revisit.index_rows(decided), f"{path}/crawled", batch)
+    crawled_index.append_batch(revisit.index_rows(decided), f"{path}/crawled", batch, settings.index_buckets)
     return decided
 
 

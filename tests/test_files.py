@@ -29,7 +29,7 @@ def placed_rows(spark, scratch, rows, limit, pool_size=1):
     frame = spark.createDataFrame(
         [(r, n, f"g{g}", size, limit) for r, n, g, size in rows],
         "request_id long, record_num int, file_group string, size long, file_size long",
-    ).withColumn("fetch_ts", F.lit("2024-01-01").cast("timestamp"))
+    ).withColumns({"fetch_ts": F.lit("2024-01-01").cast("timestamp"), "collection_final_name": F.col("file_group")})
     return archive.file_offsets(frame, "size", ArchiveSettings(pool_size=pool_size), scratch).collect()
 
 
@@ -71,9 +71,17 @@ def test_siblings_name_each_other(spark):
     assert found == {"a": ["b"], "b": ["z", "a"], "c": ["d", "e"], "d": ["c"], "e": ["c"], "f": []}
 
 
-def test_lanes_never_share_a_file_name(spark):
+def test_files_of_one_final_name_never_share_a_file_name(spark):
+    hours = ["c@2024010110", "c@2024010111"]
     rows = spark.createDataFrame(
-        [(lane, serial) for lane in range(3) for serial in range(1, 5)], "lane int, serial long"
-    ).selectExpr("*", "'c' AS collection_final_name", "timestamp'2024-01-01' AS opened", "false AS compress")
-    names = files.with_file_name(rows, ArchiveSettings(pool_size=3)).select("file_name").distinct()
-    assert names.count() == 12
+        [(group, lane, volume, 10 * volume) for group in hours for lane in range(3) for volume in (0, 1, 4, 9)],
+        "file_group string, lane int, volume long, start long",
+    ).selectExpr("*", "'c' AS collection_final_name", "timestamp'2024-01-01' AS fetch_ts", "false AS compress")
+    used = spark.createDataFrame([("c", 7), ("d", 99)], "collection_final_name string, used long")
+    for before, least in ((None, 1), (used, 8)):
+        named = files.with_file_name(files.number_files(rows), ArchiveSettings(pool_size=3), before).collect()
+        assert len({r.file_name for r in named}) == 24
+        assert sorted(r.file_number for r in named) == list(range(least, least + 24))
+        # Numbers go on with the rotation, whatever the second in which files are opened.
+        assert max(r.file_number for r in named if r.file_group == hours[0]) == least + 11
+        assert {r.serial for r in named} == {1, 2, 3, 4}
