@@ -587,6 +587,7 @@ ORACLE: dict[str, str] = {
     ),
     "bucket_histogram": _histogram(),
     "stream_sessions": ASSEMBLED_CONVERSATIONS,
+    "stream_outcomes": over("outcomes", "SELECT request_id, status FROM outcomes"),
     "stream_archive": f"""SELECT request_id, record_num, record_type, warc_id, block_digest, payload_digest,
         collection_final_name FROM ({_message_index()})""",
     "stream_revisit": DECISIONS,

@@ -703,6 +703,21 @@ def q_stream_sessions(spark, sf_dir):
     return _assembled(stream_session.read_sessions(spark, path))
 
 
+@query
+def q_stream_outcomes(spark, sf_dir):
+    """How each session ends, with its messages in two micro-batches."""
+    messages = inputs.event_messages(spark, sf_dir)
+    ends = messages.groupBy("request_id").agg((F.max("seq") + 1).alias("seq")).withColumn("kind", F.lit("eof"))
+    source, path, late = shared_dir(spark, "messages"), shared_dir(spark, "sessions"), F.col("seq") >= 2
+    whole = messages.unionByName(ends, allowMissingColumns=True)
+    _feed(
+        [whole.where(~late), whole.where(late)],
+        source,
+        lambda: stream_session.start(stream_messages(spark, source), path, availableNow=True),
+    )
+    return stream_session.read_ended(spark, path).select("request_id", "status")
+
+
 @query
 def q_stream_archive(spark, sf_dir):
     """Messages in, index rows out, batch by batch; sessions end by any of their end messages."""
@@ -715,7 +730,7 @@ def q_stream_archive(spark, sf_dir):
         stream = stream_messages(spark, source)
         return stream_archives.start(stream, config, path, SETTINGS, availableNow=True)
 
-    _feed(_by_request(messages.unionByName(ends, allowMissingColumns=True)), source, start)
+    _feed(_by_request(messages.unionByName(ends, allowMissingColumns=True), 2), source, start)
     return spark.read.parquet(f"{path}/index").select(
         *RECORD, "record_type", "warc_id", "block_digest", "payload_digest", "collection_final_name"
     )

@@ -2,8 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import DataFrame, SparkSession
 
 from crawlspark.operators.assembly import record_chunks
 from crawlspark.plans import archive
@@ -12,11 +11,13 @@ from crawlspark.streaming import sessions
 from crawlspark.workspace import Scratch, delete_dir
 
 
-def run_batch(batch: DataFrame, config: DataFrame, path: str, batch_id: int, settings: ArchiveSettings) -> None:
-    """One micro-batch, repeatable by its id: sessions that end in it are validated, decided and written."""
-    spark = batch.sparkSession
-    sessions.close_batch(batch, path, batch_id)
-    messages = sessions.read_sessions(spark, path, batch_id)
+def run_batch(
+    spark: SparkSession, config: DataFrame, path: str, batch_id: int, settings: ArchiveSettings, ingested: str | None = None
+) -> None:
+    """The sessions that one micro-batch ended are validated, decided and written; repeatable by its id."""
+    if sessions.read_ended(spark, path, batch_id).isEmpty():
+        return
+    messages = sessions.read_sessions(spark, path, batch_id, ingested)
     scratch = Scratch(spark, f"{path}/scratch/batch={batch_id}")
     found = archive.read_sessions(messages, config, settings, scratch)
     found.statuses().write.mode("overwrite").parquet(f"{path}/status/batch={batch_id}")
@@ -26,16 +27,16 @@ def run_batch(batch: DataFrame, config: DataFrame, path: str, batch_id: int, set
 
 
 def start(
-    messages: DataFrame, config: Callable[[], DataFrame], path: str, settings: ArchiveSettings, **trigger
-) -> StreamingQuery:
+    messages: DataFrame,
+    config: Callable[[], DataFrame],
+    path: str,
+    settings: ArchiveSettings,
+    ingested: str | None = None,
+    **options,
+) -> sessions.Running:
     """Stream of messages -> ``warc``, ``index``, ``status`` and ``crawled`` under ``path``."""
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        run_batch(batch, config(), path, batch_id, settings)
+    def then(spark: SparkSession, batch_id: int) -> None:
+        run_batch(spark, config(), path, batch_id, settings, ingested)
 
-    return (
-        messages.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", f"{path}/checkpoint")
-        .trigger(**trigger)
-        .start()
-    )
+    return sessions.start(messages, path, ingested, then=then, **options)

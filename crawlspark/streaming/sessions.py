@@ -1,123 +1,250 @@
 """Write sessions on a stream: closed by the message that ends them, not by a gap.
 
-Message bytes are appended once per micro-batch and stay there. The state that
-goes from batch to batch is narrow: for each record of an open session what is
-needed to tell a repeated header, and in which batches its messages are.
+Two queries follow each other. One appends the messages, bytes and all, to a log of files that the engine
+commits exactly once. The other one takes the narrow columns of the log through a keyed state in the engine's
+state store: for each record what tells a repeated header, the names of the log files that hold the
+session's messages, and its end. Bytes never pass through the state. A session that has ended leaves a mark, so that what arrives
+later does not count; timers remove marks, and end sessions that were abandoned.
 """
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-
-from crawlspark.operators.sessions import DATA_KINDS, KNOWN_KINDS
-from crawlspark.schemas import MESSAGE
-from crawlspark.workspace import delete_dir, dir_exists
-
-TERMINAL_KINDS = ("eof", "cancel")
-ENDED, ABANDONED = "ENDED", "ABANDONED"
-
-_STATE = "request_id long, record_num int, first_byte long, last_header long, closed boolean, first_batch long, last_batch long"
-_ENDED = "request_id long, status string, first_batch long, batch long"
-_LOGGED = T.StructType([*MESSAGE.fields, T.StructField("batch", T.LongType())])
-
-
-def summary(messages: DataFrame, batch_id: int) -> DataFrame:
-    """What the messages of one batch add to the state."""
-    kind, seq = F.col("kind"), F.col("seq")
-    ends = kind.isin(*TERMINAL_KINDS) | ~F.coalesce(kind.isin(*KNOWN_KINDS), F.lit(False))
-    has_bytes = kind.isin(*DATA_KINDS) & (F.octet_length("data") > 0)
-    return messages.groupBy("request_id", "record_num").agg(
-        F.min(F.when(has_bytes, seq)).alias("first_byte"),
-        F.max(F.when(kind == "header", seq)).alias("last_header"),
-        F.bool_or(F.coalesce(ends, F.lit(True))).alias("closed"),
-        F.lit(batch_id).cast("long").alias("first_batch"),
-        F.lit(batch_id).cast("long").alias("last_batch"),
-    )
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
+from crawlspark.operators.sessions import CANCELLED, DATA_KINDS, EOF, HEADER_TWICE, INVALID_ARGUMENT, KNOWN_KINDS
+from crawlspark.sources.messages import message_schema
+from crawlspark.workspace import dir_exists, make_dir
 
-def merged(states: DataFrame) -> DataFrame:
-    return states.groupBy("request_id", "record_num").agg(
-        F.min("first_byte").alias("first_byte"),
-        F.max("last_header").alias("last_header"),
-        F.bool_or("closed").alias("closed"),
-        F.min("first_batch").alias("first_batch"),
-        F.max("last_batch").alias("last_batch"),
-    )
+ABANDONED = "ABANDONED"
 
+_ENDED = T.StructType(
+    [
+        T.StructField("request_id", T.LongType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("files", T.ArrayType(T.StringType())),
+    ]
+)
+_ENDED_BY_BATCH = T.StructType([*_ENDED.fields, T.StructField("batch", T.LongType())])
+_STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+}
 
-def close_batch(batch: DataFrame, path: str, batch_id: int, abandoned_after: int | None = None) -> None:
-    """End sessions with the messages of one micro-batch; repeatable by batch id.
+#: How long after its end a session is remembered, and how far files of the log may be out of order.
+FORGET_AFTER_MS, OUT_OF_ORDER = 7 * 24 * 3600 * 1000, "1 hour"
+#: A sequence number that no message has.
+NEVER = (1 << 63) - 1
 
-    Reads what the batch before left open and writes ``messages``, ``ended``
-    and ``open`` of its own id. A session ends with ``eof``, ``cancel``, an
-    unknown message or a repeated header; what arrives after its end does not
-    count. ``abandoned_after`` ends sessions without a message in so many
-    batches as ABANDONED: they get a row, and none of their messages is
-    released. It is off by default.
-    """
-    spark = batch.sparkSession
-    log = f"{path}/messages/batch={batch_id}"
-    batch.select(*MESSAGE.names).write.mode("overwrite").parquet(log)
-    states = summary(spark.read.schema(MESSAGE).parquet(log), batch_id)
-    before = f"{path}/open/batch={batch_id - 1}"
-    if dir_exists(spark, before):
-        states = states.unionByName(spark.read.schema(_STATE).parquet(before))
-    done = read_ended(spark, path).where(F.col("batch") < batch_id).select("request_id")
-    now = f"{path}/states/batch={batch_id}"
-    merged(states).join(done, "request_id", "left_anti").write.mode("overwrite").parquet(now)
-    state = spark.read.schema(_STATE).parquet(now)
-
-    ends = F.col("closed") | F.coalesce(F.col("last_header") > F.col("first_byte"), F.lit(False))
-    sessions = state.groupBy("request_id").agg(
-        F.bool_or(ends).alias("ends"),
-        F.min("first_batch").alias("first_batch"),
-        F.max("last_batch").alias("last_batch"),
-    )
-    status = F.when(F.col("ends"), ENDED)
-    if abandoned_after is not None:
-        status = status.when(F.col("last_batch") <= batch_id - abandoned_after, ABANDONED)
-    ended = sessions.select("request_id", status.alias("status"), "first_batch").where("status IS NOT NULL")
-    ended.write.mode("overwrite").parquet(f"{path}/ended/batch={batch_id}")
-    gone = spark.read.schema(_ENDED).parquet(f"{path}/ended/batch={batch_id}").select("request_id")
-    still_open = state.join(gone, "request_id", "left_anti")
-    still_open.write.mode("overwrite").parquet(f"{path}/open/batch={batch_id}")
-    delete_dir(spark, now)
-    delete_dir(spark, f"{path}/open/batch={batch_id - 2}")
 
+class SessionEnds(StatefulProcessor):
+    """Ends a session at its first eof, cancel, unknown message or repeated header, or some time after its last message.
 
-def start(messages: DataFrame, path: str, abandoned_after: int | None = None, **trigger) -> StreamingQuery:
-    """Stream of messages -> ended sessions, see ``read_sessions`` and ``read_ended``."""
+    The earliest of them gives the status, as ``operators.sessions.session_outcome`` does for a whole table. The
+    order of messages within a micro-batch does not matter.
+    """
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        close_batch(batch, path, batch_id, abandoned_after)
+    def __init__(self, abandoned_after_ms: int | None, forget_after_ms: int):
+        self.abandoned_after_ms, self.forget_after_ms = abandoned_after_ms, forget_after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.records = handle.getMapState("records", "record_num int", "first_byte long, last_header long")
+        self.files = handle.getListState("files", "file string")
+        self.ends = handle.getValueState("ends", "twice long, invalid long, cancel long, eof long, ingested_ms long")
+        self.ended = handle.getValueState("ended", "status string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.ended.exists():
+            for _ in rows:
+                pass
+            return
+        twice, invalid, cancel, eof, ingested = self.ends.get() if self.ends.exists() else (NEVER,) * 4 + (0,)
+        known = {row[0] for row in self.files.get()} if self.files.exists() else set()
+        first, headers = {}, {}
+        for frame in rows:
+            for file in sorted(set(frame["file"]) - known):
+                known.add(file)
+                self.files.appendValue((file,))
+            ingested = max(ingested, int(frame["ingested_ms"].max()))
+            invalid, cancel, eof = (
+                min(before, int(frame.loc[frame["end"] == kind, "seq"].min()) if (frame["end"] == kind).any() else NEVER)
+                for before, kind in ((invalid, "invalid"), (cancel, "cancel"), (eof, "eof"))
+            )
+            for number, seq in frame[frame["bytes"]].groupby("record_num")["seq"].min().items():
+                first[number] = min(first.get(number, NEVER), int(seq))
+            for number, seqs in frame[frame["header"]].groupby("record_num")["seq"]:
+                headers.setdefault(number, []).extend(int(seq) for seq in seqs)
+        for number in {*first, *headers}:
+            place = (int(number),)
+            before, last = self.records.getValue(place) if self.records.containsKey(place) else (NEVER, -NEVER)
+            least = min(before, first.get(number, NEVER))
+            own = headers.get(number, [])
+            # Headers behind a byte of their record; of earlier batches, the last one stands for all.
+            twice = min([twice, *(seq for seq in (*own, last) if seq > least)])
+            self.records.updateValue(place, (least, max([last, *own])))
+        self.ends.update((twice, invalid, cancel, eof, ingested))
+        end = min(twice, invalid, cancel)
+        if end == NEVER and eof == NEVER:
+            if self.abandoned_after_ms is not None:
+                self._wake(ingested + self.abandoned_after_ms)
+            return
+        status = EOF if end == NEVER else HEADER_TWICE if end == twice else INVALID_ARGUMENT if end == invalid else CANCELLED
+        yield self._close(key, status, sorted(known), ingested)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.ended.exists():
+            self.ended.clear()
+            return
+        yield self._close(key, ABANDONED, [], expiredTimerInfo.getExpiryTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+    def _close(self, key, status: str, files: list[str], now_ms: int) -> pd.DataFrame:
+        self.records.clear()
+        self.files.clear()
+        self.ends.clear()
+        self.ended.update((status,))
+        self._wake(now_ms + self.forget_after_ms)
+        return pd.DataFrame({"request_id": [key[0]], "status": [status], "files": [files]})
+
+    def _wake(self, at_ms: int) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+        self.handle.registerTimer(at_ms)
+
+
+def narrow_messages(log: DataFrame) -> DataFrame:
+    """What the state needs to know of each message of the log; no bytes are read."""
+    kind = F.coalesce("kind", F.lit(""))
+    data = kind.isin(*DATA_KINDS)
+    ingested = F.col("_metadata.file_modification_time")
+    return log.select(
+        "request_id",
+        F.coalesce("seq", F.lit(0)).alias("seq"),
+        F.coalesce("record_num", F.lit(-1)).alias("record_num"),
+        F.coalesce(data & (F.col("size") > 0), F.lit(False)).alias("bytes"),
+        (kind == "header").alias("header"),
+        F.when(kind.isin("eof", "cancel"), kind).when(~kind.isin(*KNOWN_KINDS), "invalid").otherwise("").alias("end"),
+        F.col("_metadata.file_name").alias("file"),
+        F.unix_millis(ingested).alias("ingested_ms"),
+        ingested.alias("ingested"),
+    )
 
+
+def log_messages(messages: DataFrame, path: str, **trigger) -> StreamingQuery:
+    """Stream of messages -> the log under ``path/messages``, with the size of each message's data."""
+    sized = messages.withColumn("size", F.octet_length("data").cast("long"))
     return (
-        messages.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", f"{path}/checkpoint")
+        sized.writeStream.format("parquet")
+        .option("path", f"{path}/messages")
+        .option("checkpointLocation", f"{path}/checkpoint/messages")
         .trigger(**trigger)
         .start()
     )
 
 
-def read_ended(spark: SparkSession, path: str) -> DataFrame:
-    """(request_id, status, first_batch, batch) of every session that has ended, with the batch that ended it."""
+def end_sessions(
+    spark: SparkSession,
+    path: str,
+    then: Callable[[SparkSession, int], None] | None = None,
+    abandoned_after_ms: int | None = None,
+    forget_after_ms: int = FORGET_AFTER_MS,
+    ingested: str | None = None,
+    **trigger,
+) -> StreamingQuery:
+    """Stream of the log -> ended sessions under ``path/ended``, by micro-batch; ``then`` goes on with each of them.
+
+    A micro-batch may be repeated with the same id: it writes the same rows again.
+    """
+    make_dir(spark, f"{path}/messages")
+    log = spark.readStream.schema(message_schema(ingested).add("size", "long")).parquet(f"{path}/messages")
+    ended = (
+        narrow_messages(log)
+        .withWatermark("ingested", OUT_OF_ORDER)
+        .groupBy("request_id")
+        .transformWithStateInPandas(SessionEnds(abandoned_after_ms, forget_after_ms), _ENDED, "append", "eventTime")
+    )
+
+    def handle(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/ended/batch={batch_id}")
+        if then is not None:
+            then(batch.sparkSession, batch_id)
+
+    before = {name: spark.conf.get(name, None) for name in _STATE_STORE}
+    try:
+        # A query keeps the settings it is started with.
+        for name, value in _STATE_STORE.items():
+            spark.conf.set(name, value)
+        return (
+            ended.writeStream.foreachBatch(handle)
+            .outputMode("append")
+            .option("checkpointLocation", f"{path}/checkpoint/ended")
+            .trigger(**trigger)
+            .start()
+        )
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+@dataclass
+class Running:
+    """The two queries of a stream of sessions."""
+
+    log: StreamingQuery
+    ended: StreamingQuery
+
+    def awaitTermination(self) -> None:  # noqa: N802 - as the engine names it
+        self.log.awaitTermination()
+        self.ended.awaitTermination()
+
+    def stop(self) -> None:
+        self.ended.stop()
+        self.log.stop()
+
+
+def start(messages: DataFrame, path: str, ingested: str | None = None, **options) -> Running:
+    """Stream of messages -> ended sessions, see ``read_sessions`` and ``read_ended``.
+
+    ``options`` are those of ``end_sessions`` and a trigger. A trigger that ends with the data at hand first
+    logs it, then follows the log.
+    """
+    trigger = {name: options[name] for name in ("availableNow", "once", "processingTime", "continuous") if name in options}
+    log = log_messages(messages, path, **trigger)
+    if trigger.get("availableNow") or trigger.get("once"):
+        log.awaitTermination()
+    return Running(log, end_sessions(messages.sparkSession, path, ingested=ingested, **options))
+
+
+def read_ended(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
+    """(request_id, status, files, batch) of every session that has ended, or of those that one batch ended."""
     if not dir_exists(spark, f"{path}/ended"):
-        return spark.createDataFrame([], _ENDED)
-    return spark.read.schema(_ENDED).parquet(f"{path}/ended")
+        return spark.createDataFrame([], _ENDED_BY_BATCH)
+    if batch_id is not None:
+        ended = spark.read.schema(_ENDED).parquet(f"{path}/ended/batch={batch_id}")
+        return ended.withColumn("batch", F.lit(batch_id).cast("long"))
+    return spark.read.schema(_ENDED_BY_BATCH).parquet(f"{path}/ended")
 
 
-def read_sessions(spark: SparkSession, path: str, batch_id: int | None = None) -> DataFrame:
-    """Messages of the whole sessions that ended, all of them or those of one batch.
+def read_sessions(spark: SparkSession, path: str, batch_id: int | None = None, ingested: str | None = None) -> DataFrame:
+    """Messages of the whole sessions that ended, all of them or those of one batch; abandoned ones are not released.
 
-    Messages later than the batch that ended their session are left out.
+    Messages that arrive after the batch that ended their session are left out. One batch reads the log files
+    of its own sessions only.
     """
-    ended = read_ended(spark, path).where(F.col("status") == ENDED)
-    log = spark.read.schema(_LOGGED).parquet(f"{path}/messages")
-    if batch_id is not None:
-        ended = ended.where(F.col("batch") == batch_id)
-        oldest = ended.agg(F.min("first_batch")).first()[0]
-        log = log.where(F.col("batch").between(batch_id if oldest is None else oldest, batch_id))
-    spans = ended.select("request_id", "first_batch", F.col("batch").alias("last_batch"))
-    inside = F.col("batch").between(F.col("first_batch"), F.col("last_batch"))
-    return log.join(spans, "request_id").where(inside).select(*MESSAGE.names)
+    schema = message_schema(ingested)
+    held = read_ended(spark, path, batch_id).select("request_id", F.explode("files").alias("file"))
+    log = spark.read.schema(schema)
+    if batch_id is None:
+        rows = log.parquet(f"{path}/messages")
+    else:
+        files = [row.file for row in held.select("file").distinct().collect()]
+        if not files:
+            return spark.createDataFrame([], schema)
+        rows = log.parquet(*[f"{path}/messages/{file}" for file in files])
+    return rows.withColumn("file", F.col("_metadata.file_name")).join(held, ["request_id", "file"]).select(schema.names)

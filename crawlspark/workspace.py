@@ -92,3 +92,8 @@ def publish_text(spark: SparkSession, path: str, text: str) -> None:
     overwrite[0] = options.OVERWRITE
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(hadoop_path.toUri(), spark._jsc.hadoopConfiguration())
     context.rename(draft, hadoop_path, overwrite)
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    hadoop_path, file_system = _on_file_system(spark, path)
+    file_system.mkdirs(hadoop_path)

@@ -1,4 +1,5 @@
-
+import pandas as pd
+import pytest
 
 import sample
 from crawlspark.schemas import MESSAGE
@@ -15,6 +16,7 @@ def test_sessions_are_released_whole_and_late(spark):
     source, path = shared_dir(spark, "source"), shared_dir(spark, "path")
 
     def feed(rows):
+        # Each feed starts both queries again, from their checkpoints.
         sample.messages(spark, rows).write.mode("append").parquet(source)
         sessions.start(stream_messages(spark, source), path, availableNow=True).awaitTermination()
         released = sessions.read_sessions(spark, path)
@@ -27,37 +29,125 @@ def test_sessions_are_released_whole_and_late(spark):
     # However long it takes, nothing of an open session is lost; what comes after an end does not count.
     assert feed(two[1:2] + [(1, 10, "eof", *END)]) == first
     second = first + [(2, 0), (2, 1), (2, 9)]
-    assert feed([(2, 9, "cancel", *END)]) == second
-    assert feed([(3, 9, "eof", *END)]) == second + [(3, s) for s in (0, 1, 2, 3, 9)]
+    assert feed([(2, 9, "cancel", *END), (3, 9, "eof", *END)]) == second + [(3, s) for s in (0, 1, 2, 3, 9)]
     assert read_messages(spark, source).schema == MESSAGE
-    state = spark.read.parquet(f"{path}/open/batch=4")
-    assert state.count() == 0 and "data" not in state.columns
-
-
-def test_every_end_of_a_session_ends_it(spark):
-    path = shared_dir(spark, "path")
-    header, payload = (lambda n, s, d: (n, s, "header", 0, d, None, None)), (lambda n, s: (n, s, "payload", 0, b"p", None, None))
-    sessions.close_batch(sample.messages(spark, [payload(1, 0), payload(2, 0), header(3, 0, b""), payload(4, 0)]), path, 0)
-    later = [header(1, 1, b"x"), (2, 1, "trailer", None, None, None, None), header(3, 1, b"x")]
-    for _ in range(2):
-        sessions.close_batch(sample.messages(spark, later), path, 1)
-        ended = {(r.request_id, r.status, r.batch) for r in sessions.read_ended(spark, path).collect()}
-        assert ended == {(1, "ENDED", 1), (2, "ENDED", 1)}
-        assert sessions.read_sessions(spark, path).count() == 4
-    sessions.close_batch(sample.messages(spark, [payload(3, 2)]), path, 2, abandoned_after=2)
-    ended = {(r.request_id, r.status) for r in sessions.read_ended(spark, path).where("batch = 2").collect()}
-    assert ended == {(4, "ABANDONED")}
-    assert sessions.read_sessions(spark, path, 2).count() == 0
-
-
-def test_repeated_batch_releases_the_same(spark):
-    path = shared_dir(spark, "path")
-    first = sample.messages(spark, sample.session(1)[:2])
-    second = sample.messages(spark, sample.session(1)[2:] + [(1, 9, "eof", *END)])
-    sessions.close_batch(first, path, 0)
-    for _ in range(2):
-        sessions.close_batch(second, path, 1)
-        assert sessions.read_sessions(spark, path).count() == 5
+    ended = sessions.read_ended(spark, path).collect()
+    assert {(r.request_id, r.status) for r in ended} == {(1, "EOF"), (2, "CANCELLED"), (3, "EOF")}
+    for batch in {r.batch for r in ended}:
+        own = {r.request_id for r in ended if r.batch == batch}
+        assert {r.request_id for r in sessions.read_sessions(spark, path, batch).collect()} == own
+
+
+class Values:
+    """State of one kind for one key, as the engine's handle gives it."""
+
+    def __init__(self):
+        self.rows = []
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        return self.rows[0] if self.single else iter(self.rows)
+
+    single = True
+
+    def update(self, row):
+        self.rows = [row]
+
+    def appendValue(self, row):  # noqa: N802
+        self.rows.append(row)
+
+    def clear(self):
+        self.rows = []
+
+
+class Handle:
+    def __init__(self):
+        self.timers = []
+
+    def getValueState(self, *_, **__):  # noqa: N802
+        return Values()
+
+    def getListState(self, *_, **__):  # noqa: N802
+        found = Values()
+        found.single = False
+        return found
+
+    def getMapState(self, *_, **__):  # noqa: N802
+        class Map(dict):
+            containsKey = dict.__contains__  # noqa: N815
+            getValue = dict.__getitem__  # noqa: N815
+            updateValue = dict.__setitem__  # noqa: N815
+
+        return Map()
+
+    def listTimers(self):  # noqa: N802
+        return iter(self.timers)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(at)
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+
+def processor(abandoned_after_ms=None, forget_after_ms=1000):
+    made, handle = sessions.SessionEnds(abandoned_after_ms, forget_after_ms), Handle()
+    made.init(handle)
+    return made, handle
+
+
+def give(made, *rows, at=0, file="f"):
+    """Rows (seq, kind, data) of record 0 in one micro-batch; the statuses that come out."""
+    columns = ["seq", "record_num", "bytes", "header", "end", "file", "ingested_ms"]
+    kinds = {"eof": "eof", "cancel": "cancel", "trailer": "invalid"}
+    found = [(s, 0, k in ("header", "payload") and bool(d), k == "header", kinds.get(k, ""), file, at) for s, k, d in rows]
+    return [r for out in made.handleInputRows((7,), iter([pd.DataFrame(found, columns=columns)]), None) for r in out.itertuples(index=False)]
+
+
+@pytest.mark.parametrize(
+    "rows, status",
+    [
+        ([(0, "header", b"H"), (1, "payload", b"P"), (9, "eof", None)], "EOF"),
+        ([(0, "header", b""), (1, "header", b"H"), (9, "eof", None)], "EOF"),
+        ([(0, "payload", b"P"), (1, "header", b"H")], "HEADER_TWICE"),
+        ([(0, "header", b"H"), (2, "header", b"X"), (3, "cancel", None)], "HEADER_TWICE"),
+        ([(0, "header", b"H"), (1, "cancel", None), (2, "header", b"X")], "CANCELLED"),
+        ([(0, "trailer", None), (1, "cancel", None)], "INVALID_ARGUMENT"),
+        ([(0, "header", b"H"), (1, "payload", b"P")], None),
+    ],
+)
+def test_status_does_not_depend_on_how_messages_are_batched(rows, status):
+    for cut in range(len(rows) + 1):
+        for order in (1, -1):
+            made, _ = processor()
+            out = [r for part in (rows[:cut], rows[cut:]) if part for r in give(made, *part[::order])]
+            assert [r.status for r in out] == ([status] if status else []), (cut, order)
+
+
+def test_ends_are_remembered_for_a_while(spark):
+    made, handle = processor(forget_after_ms=1000)
+    assert [r.files for r in give(made, (0, "header", b"H"), file="a") + give(made, (9, "eof", None), at=5, file="b")] == [["a", "b"]]
+    assert give(made, (10, "eof", None)) == [] and handle.timers == [1005]
+    assert list(made.handleExpiredTimer((7,), None, Expired(1005))) == [] and not made.ended.exists()
+
+
+class Expired:
+    def __init__(self, at):
+        self.at = at
+
+    def getExpiryTimeInMs(self):  # noqa: N802
+        return self.at
+
+
+def test_abandoned_sessions_end_after_their_last_message():
+    made, handle = processor(abandoned_after_ms=100, forget_after_ms=1000)
+    assert give(made, (0, "header", b"H"), at=10) == [] and handle.timers == [110]
+    assert give(made, (1, "payload", b"P"), at=50) == [] and handle.timers == [150]
+    (out,) = made.handleExpiredTimer((7,), None, Expired(150))
+    assert out.status.tolist() == ["ABANDONED"] and out.files.tolist() == [[]] and handle.timers == [1150]
+    assert give(made, (9, "eof", None)) == [] and not made.files.exists() and not made.ends.exists()
 
 
 def test_config_outlives_its_files(spark):
