@@ -80,3 +80,14 @@ def file_name(final_name: Column, opened: Column, serial: Column, host: str, com
         F.lit(f"-{host}.warc"),
         F.when(compress, F.lit(".gz")).otherwise(F.lit("")),
     )
+
+
+def bucket_end(bucket: Column, time_zone: str = "UTC") -> Column:
+    """The instant at which a calendar bucket ends, NULL for one that never does. The number of digits tells its grain."""
+    grains = {4: ("0101", "1 YEAR"), 6: ("01", "1 MONTH"), 8: ("", "1 DAY"), 10: ("", "1 HOUR")}
+    ends = F.lit(None).cast("timestamp")
+    for digits, (rest, step) in grains.items():
+        form = "yyyyMMddHH"[: digits + len(rest)]
+        begin = F.try_to_timestamp(F.concat(bucket, F.lit(rest)), F.lit(form))
+        ends = F.when(F.length(bucket) == digits, F.to_utc_timestamp(begin + F.expr(f"INTERVAL {step}"), time_zone)).otherwise(ends)
+    return ends

@@ -591,5 +591,6 @@ ORACLE: dict[str, str] = {
     "stream_archive": f"""SELECT request_id, record_num, record_type, warc_id, block_digest, payload_digest,
         collection_final_name FROM ({_message_index()})""",
     "stream_revisit": DECISIONS,
+    "stream_revisit_state": DECISIONS,
     "stream_config_refresh": JOINED_CONFIG,
 }

@@ -18,6 +18,7 @@ from crawlspark.sources.config import join_config
 from crawlspark.sources.messages import stream_messages
 from crawlspark.streaming import archive as stream_archives
 from crawlspark.streaming import config as stream_config
+from crawlspark.streaming import first_writers as stream_first_writers
 from crawlspark.streaming import revisit as stream_revisits
 from crawlspark.streaming import sessions as stream_session
 from crawlspark.workspace import Scratch, shared_dir
@@ -750,6 +751,32 @@ def q_stream_revisit(spark, sf_dir):
     return _decisions(stream_revisits.read_decided(spark, path))
 
 
+@query
+def q_stream_revisit_state(spark, sf_dir):
+    """The first quarter is in the index already; the rest is decided by state, or if its bucket is long over by the index."""
+    scratch, path, source = Scratch(spark), shared_dir(spark, "revisits"), shared_dir(spark, "keyed")
+    keyed = keyed_events(spark, sf_dir, scratch)
+    clock = keyed.agg(F.expr("percentile_approx(fetch_ts, 0.5)")).first()[0]
+    # Ingestion takes place within minutes, in the middle of the span of fetch times.
+    rows = keyed.withColumn("ingested", F.lit(clock) + F.make_dt_interval(secs=F.col("request_id") / 1000))
+    first, *rest = _by_request(rows)
+    begun = scratch.keep(revisit.detect_revisits(first, SETTINGS.salts), "begun")
+    crawled_index.append_batch(revisit.index_rows(begun), f"{path}/crawled", 0, SETTINGS.index_buckets)
+    known = crawled_index.read_index(spark, f"{path}/crawled")
+
+    def start():
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        day = 24 * 3600 * 1000
+        return stream_first_writers.start(stream, path, SETTINGS, day, known, first_batch=1, availableNow=True)
+
+    _feed([reduce(DataFrame.unionByName, rest[:2]), rest[2]], source, start)
+    bare = [rows_.where("revisit_key IS NULL") for rows_ in rest]
+    never = reduce(DataFrame.unionByName, bare).select(*RECORD).withColumns(
+        {"is_revisit": F.lit(False), "ref_request_id": F.lit(None).cast("long"), "ref_record_num": F.lit(None).cast("int")}
+    )
+    return _decisions(begun).unionByName(_decisions(stream_first_writers.read_decided(spark, path))).unionByName(never)
+
+
 @query
 def q_stream_config_refresh(spark, sf_dir):
     found = inputs.event_records(spark, sf_dir).select("request_id", "collection_id").distinct()

@@ -8,6 +8,7 @@ later does not count; timers remove marks, and end sessions that were abandoned.
 """
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pandas as pd
@@ -118,6 +119,19 @@ class SessionEnds(StatefulProcessor):
         self.handle.registerTimer(at_ms)
 
 
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Queries that start in here keep their state in RocksDB; a query holds on to the settings of its start."""
+    before = {name: spark.conf.get(name, None) for name in _STATE_STORE}
+    try:
+        for name, value in _STATE_STORE.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def narrow_messages(log: DataFrame) -> DataFrame:
     """What the state needs to know of each message of the log; no bytes are read."""
     kind = F.coalesce("kind", F.lit(""))
@@ -175,11 +189,7 @@ def end_sessions(
         if then is not None:
             then(batch.sparkSession, batch_id)
 
-    before = {name: spark.conf.get(name, None) for name in _STATE_STORE}
-    try:
-        # A query keeps the settings it is started with.
-        for name, value in _STATE_STORE.items():
-            spark.conf.set(name, value)
+    with state_store(spark):
         return (
             ended.writeStream.foreachBatch(handle)
             .outputMode("append")
@@ -187,9 +197,6 @@ def end_sessions(
             .trigger(**trigger)
             .start()
         )
-    finally:
-        for name, value in before.items():
-            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 @dataclass
