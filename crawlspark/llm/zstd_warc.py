@@ -267,7 +267,8 @@ def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=_SCHEMA)
 
     paths = files.select("path").where("path is not null")
-    return paths.repartition("path").mapInArrow(read, _SQL_SCHEMA)
+    # A partition for each file by number: paths are few bytes, and adaptive execution would merge their partitions.
+    return paths.repartition(max(1, paths.count()), "path").mapInArrow(read, _SQL_SCHEMA)
 
 
 def _records(path: str) -> Iterator[dict]:

@@ -98,6 +98,7 @@ def test_archives_round_trip(spark, scratch):
     pages = pages.withColumns({n: F.lit("x") for n in ("key", "bytes", "first", "payload", "path")})
     records = zstd_warc.with_record_types(pages, scratch)
     files = zstd_warc.write_archives(records, shared_dir(spark, "archives"), scratch, max_bytes=4000)
+    assert files.count() > 8 and zstd_warc.read_archives(files).rdd.getNumPartitions() == files.count()
     assert files.count() > 1
     read = zstd_warc.read_archives(files)
     assert read.where("error is not null").count() == 0
