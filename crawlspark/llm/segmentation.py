@@ -35,7 +35,7 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _SPREAD = np.uint64(0xD1342543DE82EF95)
 _FILTER_BITS = 16
 #: Texts that share one table of lattices. A worker needs some 200 MB per MB of them.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def _powers(base: np.uint64, size: int) -> np.ndarray:
@@ -220,7 +220,7 @@ def build(vocabulary: Vocabulary, data: np.ndarray, begin: np.ndarray, end: np.n
 
 
 #: Bytes of distinct chunks whose lattices a task keeps from slice to slice.
-KEPT_BYTES = 2 << 20
+KEPT_BYTES = 3 << 19
 
 
 class KeptLattices:
