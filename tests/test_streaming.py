@@ -1,5 +1,6 @@
 import pandas as pd
 import pytest
+from pyspark.sql import Row
 
 import sample
 from crawlspark.schemas import MESSAGE
@@ -150,6 +151,27 @@ def test_abandoned_sessions_end_after_their_last_message():
     assert give(made, (9, "eof", None)) == [] and not made.files.exists() and not made.ends.exists()
 
 
+def test_session_within_a_micro_batch_takes_few_calls_to_the_state_store(monkeypatch):
+    calls = []
+    for kind, names in ((Values, ("exists", "get", "update", "appendValue", "clear")), (Handle, ("listTimers", "deleteTimer", "registerTimer"))):
+        for name in names:
+            plain = getattr(kind, name)
+            monkeypatch.setattr(kind, name, lambda self, *a, plain=plain, name=name: (calls.append(name), plain(self, *a))[1])
+    made, _ = processor()
+    assert [r.status for r in give(made, (0, "header", b"H"), (1, "payload", b"P"), (9, "eof", None))] == ["EOF"]
+    assert len(calls) <= 4, calls
+    calls.clear()
+    assert give(made, (10, "eof", None)) == []
+    assert len(calls) <= 4, calls
+
+
+def test_rows_and_frames_end_alike():
+    rows = [Row(seq=s, record_num=0, bytes=True, header=k, end=e, file="f", ingested_ms=5) for s, k, e in ((0, True, ""), (1, False, ""), (9, False, "eof"))]
+    made = sessions.RowSessionEnds(None, 1000)
+    made.init(Handle())
+    assert list(made.handleInputRows((7,), iter(rows), None)) == [Row(request_id=7, status="EOF", files=["f"])]
+
+
 def test_config_outlives_its_files(spark):
     source = shared_dir(spark, "config")
     write = lambda name: spark.createDataFrame([(name,)], "id string").write.mode("overwrite").parquet(source)
