@@ -8,8 +8,7 @@ All rows of a key in a micro-batch meet in one task, so micro-batches are to be
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -42,33 +41,24 @@ class FirstWriters(StatefulProcessor):
             "first", "request_id long, record_num int, warc_id string, target_uri string, fetch_us long"
         )
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = next(initialState.itertuples(index=False))
-        self._keep(row, timerValues)
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        self._keep(initialState, timerValues)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = list(rows) if not self.first.exists() else rows
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known, registering = self.first.get() if self.first.exists() else None, None
         if known is None:
-            whole = pd.concat(frames)
-            if self._over(int(whole["ends_ms"].iloc[0]), timerValues):
-                out = whole.assign(late=True, is_revisit=False, registers=False)
-                yield _shaped(out.assign(**{name: None for name in _REFERENCE}))
+            rows = list(rows)
+            if self._over(rows[0]["ends_ms"], timerValues):
+                for row in rows:
+                    yield _decided(row, True, None, None)
                 return
-            least = whole.sort_values(["arrived", "request_id", "record_num"]).head(1)
-            row = next(least.itertuples(index=False))
-            self._keep(row, timerValues)
-            known, registering, frames = self.first.get(), (row.request_id, row.record_num), [whole]
-        for frame in frames:
-            again = frame["request_id"] != known[0]
-            out = frame.assign(late=False, is_revisit=again, registers=False)
-            if registering:
-                out["registers"] = (frame["request_id"] == registering[0]) & (frame["record_num"] == registering[1])
-            for name, value in zip(_REFERENCE, known, strict=True):
-                out[name] = pd.Series([value if a else None for a in again], index=frame.index, dtype=object)
-            yield _shaped(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            least = min(rows, key=_place)
+            known, registering = tuple(least[name] for name in _FIRST), (least["request_id"], least["record_num"])
+            self._keep(least, timerValues)
+        for row in rows:
+            yield _decided(row, False, known, registering)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         self.first.clear()
         return iter(())
 
@@ -78,25 +68,31 @@ class FirstWriters(StatefulProcessor):
     def _over(self, ends_ms: int, timerValues) -> bool:
         return ends_ms + self.lateness_ms <= timerValues.getCurrentWatermarkInMs()
 
-    def _keep(self, row, timerValues) -> None:
-        if self._over(int(row.ends_ms), timerValues):
+    def _keep(self, row: Row, timerValues) -> None:
+        ends_ms = row["ends_ms"]
+        if self._over(ends_ms, timerValues):
             return
-        self.first.update(tuple(_plain(getattr(row, name)) for name in _FIRST))
-        if row.ends_ms < NEVER_MS:
-            self.handle.registerTimer(int(row.ends_ms) + self.lateness_ms)
+        self.first.update(tuple(row[name] for name in _FIRST))
+        if ends_ms < NEVER_MS:
+            self.handle.registerTimer(ends_ms + self.lateness_ms)
 
 
+_KNOWN_NAMES = [part.split()[0] for part in _KNOWN.split(", ")]
+_DECIDED_ROW = Row(*(part.split()[0] for part in _DECIDED.split(", ")))
 _REFERENCE = ("ref_request_id", "ref_record_num", "ref_warc_id", "ref_target_uri", "ref_us")
 
 
-def _plain(value):
-    return value.item() if hasattr(value, "item") else value
+def _place(row: Row) -> tuple:
+    """By arrival, request and record; nulls are last."""
+    return tuple((row[name] is None, row[name] or 0) for name in ("arrived", "request_id", "record_num"))
 
 
-def _shaped(frame: pd.DataFrame) -> pd.DataFrame:
-    names = [part.split()[0] for part in _DECIDED.split(", ")]
-    whole = {"ref_request_id": "Int64", "ref_record_num": "Int32", "ref_us": "Int64"}
-    return frame[names].astype(whole).reset_index(drop=True)
+def _decided(row: Row, late: bool, known: tuple | None, registering: tuple | None) -> Row:
+    """The row with its decision; rows, as most keys have too few in a micro-batch to make a frame of them."""
+    again = known is not None and row["request_id"] != known[0]
+    registers = (row["request_id"], row["record_num"]) == registering
+    references = known if again else (None,) * len(_REFERENCE)
+    return _DECIDED_ROW(*(row[name] for name in _KNOWN_NAMES), late, again, registers, *references)
 
 
 def _narrow(rows: DataFrame, settings: ArchiveSettings) -> DataFrame:
@@ -132,7 +128,7 @@ def start(
         _narrow(rows, settings)
         .withWatermark("ingested", "0 seconds")
         .groupBy("revisit_key")
-        .transformWithStateInPandas(FirstWriters(lateness_ms), _DECIDED, "append", "eventTime", initialState=initial)
+        .transformWithState(FirstWriters(lateness_ms), _DECIDED, "append", "eventTime", initialState=initial)
     )
 
     def handle(batch: DataFrame, batch_id: int) -> None:

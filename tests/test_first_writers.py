@@ -1,7 +1,9 @@
 """Revisits by keyed state: purged buckets, late records, restarts, and a start from a stored index."""
 
 from datetime import datetime
+from types import SimpleNamespace
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from crawlspark.functions.calendar import bucket_end
@@ -34,6 +36,42 @@ def test_bucket_ends(spark):
     assert oslo.first()[0] == "2024-01-01 23"
 
 
+class Kept:
+    """The one state of a key; counts the calls to it."""
+
+    def __init__(self):
+        self.row, self.calls = None, 0
+
+    def exists(self):
+        self.calls += 1
+        return self.row is not None
+
+    def get(self):
+        self.calls += 1
+        return self.row
+
+    def update(self, row):
+        self.calls += 1
+        self.row = row
+
+
+def test_keys_pass_as_rows_with_few_calls_to_the_state():
+    made = first_writers.FirstWriters(HOUR_MS)
+    made.first = Kept()
+    watermark = SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)
+
+    def give(*records):
+        own = [Row(revisit_key="k", request_id=r, record_num=n, warc_id="w", target_uri=None, fetch_us=5, bucket="", arrived=a, ends_ms=first_writers.NEVER_MS) for r, n, a in records]
+        out = made.handleInputRows(("k",), iter(own), watermark)
+        return [(r.request_id, r.late, r.is_revisit, r.registers, r.ref_request_id) for r in out]
+
+    # Null arrivals come last.
+    assert give((1, 0, None), (2, 0, 7), (2, 1, 7)) == [(1, False, True, False, 2), (2, False, False, True, None), (2, False, False, False, None)]
+    assert made.first.calls == 2
+    assert give((3, 0, 1)) == [(3, False, True, False, 2)]
+    assert made.first.calls == 4
+
+
 def test_state_is_bounded_and_late_records_use_the_index(spark):
     path, source = shared_dir(spark, "path"), shared_dir(spark, "source")
     stored = rows(spark, 0, ("old", 0, 0, "", 0), ("x", 0, 1, "2024010110", 0)).withColumnsRenamed({"revisit_key": "digest", "fetch_ts": "date"})
