@@ -17,8 +17,9 @@ def run_batch(
     """The sessions that one micro-batch ended are validated, decided and written; repeatable by its id."""
     if sessions.read_ended(spark, path, batch_id).isEmpty():
         return
-    messages = sessions.read_sessions(spark, path, batch_id, ingested)
     scratch = Scratch(spark, f"{path}/scratch/batch={batch_id}")
+    # Joined with their sessions once, not by each step that reads them.
+    messages = scratch.keep(sessions.read_sessions(spark, path, batch_id, ingested), "messages")
     found = archive.read_sessions(messages, config, settings, scratch)
     found.statuses().write.mode("overwrite").parquet(f"{path}/status/batch={batch_id}")
     keyed = archive.key_records(found.accepted(), settings, scratch)

@@ -1,4 +1,5 @@
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import Row
 
@@ -172,6 +173,121 @@ def test_rows_and_frames_end_alike():
     assert list(made.handleInputRows((7,), iter(rows), None)) == [Row(request_id=7, status="EOF", files=["f"])]
 
 
+class Watermark:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.at
+
+
+def sharded(abandoned_after_ms=None, forget_after_ms=1000):
+    made, handle = sessions.ShardedSessionEnds(abandoned_after_ms, forget_after_ms), Handle()
+    made.init(handle)
+    return made, handle
+
+
+def hand(made, *messages, at=0):
+    """Messages (request, seq, kind) of record 0 in one micro-batch; the (request, status) that come out, in order."""
+    kinds = {"eof": "eof", "cancel": "cancel", "trailer": "invalid"}
+    rows = {"shard": [3] * len(messages), "request_id": [r or 0 for r, *_ in messages], "seq": [s for _, s, _ in messages]}
+    rows |= {"record_num": [0] * len(messages), "file": ["f"] * len(messages), "ingested_ms": [at] * len(messages)}
+    rows["flags"] = [
+        (r is None) + 2 * (k in ("header", "payload")) + 4 * (k == "header") + 8 * sessions._ENDS.index(kinds.get(k, ""))
+        for r, _, k in messages
+    ]
+    packed = [tuple(row.values()) for batch in sessions._pack([pa.RecordBatch.from_pydict(rows)]) for row in batch.to_pylist()]
+    assert len(packed) == 1
+    return sorted(((e.request_id, e.status) for e in made.handleInputRows((3,), iter(packed), None)), key=repr)
+
+
+def test_sessions_of_a_shard_end_as_single_ones_do():
+    kinds = {"h": "header", "p": "payload", "c": "cancel", "t": "trailer", "e": "eof"}
+    for cut in range(4):
+        for number, text in enumerate(("hpe", "ph", "hhc", "hch", "tc", "hp", "hpeh")):
+            rows = [(seq, kinds[letter], b"x") for seq, letter in enumerate(text)]
+            single, (made, _) = processor()[0], sharded()
+            alone = [r.status for part in (rows[:cut], rows[cut:]) if part for r in give(single, *part)]
+            # Next to another session, which stays open.
+            parts = [[(number, s, k) for s, k, _ in part] + [(99, cut + i, "header")] for i, part in enumerate((rows[:cut], rows[cut:]))]
+            found = [status for part in parts for request, status in hand(made, *part) if request == number]
+            assert found == alone, (text, cut)
+
+
+def test_a_shard_takes_few_calls_to_the_state_store(monkeypatch):
+    calls = []
+    for kind, names in ((Values, ("exists", "get", "update", "clear")), (Handle, ("deleteTimer", "registerTimer"))):
+        for name in names:
+            plain = getattr(kind, name)
+            monkeypatch.setattr(kind, name, lambda self, *a, plain=plain, name=name: (calls.append(name), plain(self, *a))[1])
+    made, _ = sharded()
+    assert len(hand(made, *((r, s, k) for r in range(500) for s, k in enumerate(("header", "payload", "eof"))))) == 500
+    assert hand(made, *((r, 9, "cancel") for r in range(500))) == []
+    assert len(calls) <= 8, calls
+
+
+def test_timers_of_a_shard():
+    made, handle = sharded(abandoned_after_ms=100, forget_after_ms=1000)
+    assert hand(made, (1, 0, "header"), (None, 0, "header"), at=10) == [] and handle.timers == [110]
+    assert hand(made, (1, 1, "payload"), (2, 0, "header"), (2, 1, "eof"), at=50) == [(2, "EOF")] and handle.timers == [110]
+
+    def expire(at, watermark):
+        handle.timers.remove(at)  # as the engine does
+        return [(e.request_id, e.status) for e in made.handleExpiredTimer((3,), Watermark(watermark), Expired(at))]
+
+    assert expire(110, 120) == [(None, "ABANDONED")] and handle.timers == [150]
+    assert expire(150, 200) == [(1, "ABANDONED")] and handle.timers == [1050]
+    assert hand(made, (1, 9, "eof"), (2, 9, "eof"), (None, 9, "eof")) == [] and handle.timers == [1050]
+    # All three are forgotten, and nothing is left of the shard.
+    assert expire(1050, 2000) == [] and handle.timers == [] and not made.shard.exists()
+    assert hand(made, (2, 0, "header"), (2, 1, "eof")) == [(2, "EOF")]
+
+
+def test_abandoned_sessions_of_a_stream(spark):
+    source, path = shared_dir(spark, "source"), shared_dir(spark, "path")
+
+    def feed(rows):
+        sample.messages(spark, rows).write.mode("append").parquet(source)
+        start = sessions.start(stream_messages(spark, source), path, abandoned_after_ms=0, shards=2, availableNow=True)
+        start.awaitTermination()
+        return sorted((r.request_id, r.status) for r in sessions.read_ended(spark, path).collect())
+
+    assert feed(sample.session(1)) == []
+    # The watermark is an hour behind the log.
+    assert feed(sample.session(2) + [(2, 9, "eof", *END)]) == [(2, "EOF")]
+
+
+def test_messages_are_packed_by_shard_and_file(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None if i % 50 == 0 else i % 50, i, i % 3, i % 2 == 0, i % 4 == 0, ("", "eof", "cancel", "invalid")[i % 4], "ab"[i % 2], i % 2) for i in range(400)]
+    names = "request_id long, seq long, record_num int, bytes boolean, header boolean, end string, file string, ingested_ms long"
+    narrow = spark.createDataFrame(rows, names)
+    packed = sessions.pack_messages(narrow.coalesce(1), 4).collect()
+    shards = {r.request_id: r.shard for r in narrow.select("request_id", F.expr("pmod(xxhash64(request_id), 4)").alias("shard")).collect()}
+    assert len(packed) == len({(shards[r[0]], r[6]) for r in rows})
+    back = []
+    for row in packed:
+        assert row.ingested.timestamp() * 1000 == row.ingested_ms
+        for request, seq, number, flags in sessions.np.frombuffer(row.messages, sessions._PACKED).tolist():
+            request = None if flags & 1 else request
+            assert shards[request] == row.shard
+            back.append((request, seq, number, bool(flags & 2), bool(flags & 4), sessions._ENDS[flags >> 3], row.file, row.ingested_ms))
+    assert sorted(back, key=repr) == sorted(rows, key=repr)
+
+
+def test_event_sessions_are_cut_in_two(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from crawlspark import inputs, queries
+
+    messages = inputs.event_messages(spark, sf_dir)
+    late = queries.is_late_message(F.col("request_id"), F.col("seq"))
+    parts = messages.groupBy("request_id").agg(F.count_if(late).alias("late"), F.count_if(~late).alias("early"))
+    cut = parts.where("late > 0 AND early > 0").count()
+    assert cut > 0.9 * parts.count()
+
+
 def test_config_outlives_its_files(spark):
     source = shared_dir(spark, "config")
     write = lambda name: spark.createDataFrame([(name,)], "id string").write.mode("overwrite").parquet(source)
